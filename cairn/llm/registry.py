@@ -8,7 +8,10 @@ _QUERIES = {
     "op1_quality_rules": ("op1_quality_rules", "SQL"),
     "op3_sharding": ("op3_sharding", None),
     "op5_media_columns": ("op5_media_columns", None),
+    "op4_secret_scans": ("op4_secret_scans", None),
     "op6_ngram_jaccard_join": ("op6_ngram_jaccard_join", "SQL"),
+    "op7_mixing": ("op7_mixing", "SQL"),
+    "op8_quality_classifier": ("op8_quality_classifier", None),
     "op9_packing": ("op9_packing", None),
     "op10_lm_scoring": ("op10_lm_scoring", None),
 }
