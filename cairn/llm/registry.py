@@ -6,6 +6,7 @@ from importlib import import_module
 #: module: (query, attribute that holds its DuckDB SQL or None)
 _QUERIES = {
     "op1_quality_rules": ("op1_quality_rules", "SQL"),
+    "op2_html_extraction": ("op2_html_extraction", None),
     "op3_sharding": ("op3_sharding", None),
     "op5_media_columns": ("op5_media_columns", None),
     "op4_secret_scans": ("op4_secret_scans", None),
