@@ -5,11 +5,12 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-FIELDS = "title STRING, created STRING, modified STRING, tags ARRAY<STRING>, aliases ARRAY<STRING>, cssclasses ARRAY<STRING>, raw STRING"
+_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
+FIELDS = T.StructType([T.StructField(n, t) for n, t in (("title", _TEXT), ("created", _TEXT), ("modified", _TEXT), ("tags", _TEXTS), ("aliases", _TEXTS), ("cssclasses", _TEXTS), ("raw", _TEXT))])
 
 
 def has_block(content: Column) -> Column:
@@ -58,7 +59,7 @@ def parse(content: Column) -> Column:
     return _fields(block(content))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_TEXT)
 def _render(raw: pd.Series, tags: pd.Series, text: pd.Series) -> pd.Series:
     import json
 
@@ -84,18 +85,18 @@ def _retagged(content: Column, change) -> Column:
 
 
 def add_tags(content: Column, tags: list[str]) -> Column:
-    return _retagged(content, lambda own: F.concat(own, F.filter(F.array(*map(F.lit, tags)), lambda t: ~F.array_contains(own, t))))
+    return _retagged(content, lambda own: F.array_union(own, F.array(*map(F.lit, tags))))
 
 
 def remove_tags(content: Column, tags: list[str]) -> Column:
-    return _retagged(content, lambda own: F.filter(own, lambda t: ~t.isin(tags)))
+    return _retagged(content, lambda own: F.array_except(own, F.array(*map(F.lit, tags))))
 
 
 def set_tags(content: Column, tags: list[str]) -> Column:
     return _retagged(content, lambda own: F.array(*map(F.lit, tags)).cast("array<string>"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_TEXTS)
 def _warnings(contents: pd.Series) -> pd.Series:
     import yaml
 
