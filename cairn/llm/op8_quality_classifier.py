@@ -8,11 +8,10 @@ each pattern.  The posteriors of SAMPLE documents, those with the least hash
 of their id, train a linear scorer on hashed word shapes, endings and words;
 it scores every document, whole.
 
-Edge cases: a null or empty text has no features: it is rejected if the
-labellers' posterior is below one half, as it is with the vote ``too_short``;
-repeated rows count as often as they occur; other columns don't matter; an
-empty table gives an empty result, and with only one class in the sample the
-posterior decides alone.
+Edge cases: a text without words (null, empty or blank) scores 0 and is
+rejected; repeated rows count as often as they occur; other columns don't
+matter; an empty table gives an empty result, and with only one class in the
+sample the posterior decides alone.
 """
 from __future__ import annotations
 
@@ -227,7 +226,7 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, keep_columns: bool =
                 of, bucket, value = features(hasher, part, shape)
                 total = np.bincount(of, weights=value * w[bucket], minlength=len(part)) + b
                 filled = np.diff(hasher.word_offsets) > 0
-                scored = np.where(filled & both, 1 / (1 + np.exp(-np.clip(total, -700, 700))), posterior)
+                scored = np.where(filled, 1 / (1 + np.exp(-np.clip(total, -700, 700))) if both else posterior, 0.0)
                 own = [c.slice(first, len(part)) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(posterior), pa.array(scored), pa.array(scored >= threshold)], names=[*batch.schema.names[:-1], "posterior", "score", "quality"])
 
