@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of a lookup table of a few fixed-width columns that may be broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 200_000
+#: Texts of an Arrow batch; two workers of an executor hold one each.
+BATCH_ROWS = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +36,14 @@ def checked_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def bound_batches(docs: DataFrame) -> DataFrame:
+    """docs; whole texts go to Python in batches of BATCH_ROWS at most, unless the session already asks for less."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHasher, cut, mix64, read_table, text_parts
+from .common import bound_batches, cut, mix64, read_table, text_parts, WordHasher
 
 FOLDS, HELD_OUT_FOLD = 5, 1
 TOP_WORDS = 1 << 20
@@ -68,7 +68,7 @@ def single_key(token: np.ndarray) -> np.ndarray:
 
 def _select(docs: DataFrame) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold == HELD_OUT_FOLD, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold == HELD_OUT_FOLD, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
 
 
 def word_counts(training: DataFrame) -> DataFrame:

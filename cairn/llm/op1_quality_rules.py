@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import BROADCAST_ROWS, WordHasher, cut, mix64, read_table, text_parts
+from .common import BROADCAST_ROWS, bound_batches, cut, mix64, read_table, text_parts, WordHasher
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -78,7 +78,7 @@ def document_stats(docs: DataFrame, host: str = "source") -> DataFrame:
             cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=[x.split()[0] for x in STATS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(count, STATS)
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(count, STATS)
 
 
 def rule_failures() -> dict[str, Column]:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read_table, text_parts
+from .common import bound_batches, read_table, text_parts
 
 ROW = 64
 MAX_ROWS = 8191
@@ -369,7 +369,7 @@ def text_media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), *([pa.binary()] * keep_media)]
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(part)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[x.split()[0] for x in COLUMNS.split(", ")] + ["media"] * keep_media)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(store, COLUMNS + ", media binary" * keep_media)
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(store, COLUMNS + ", media binary" * keep_media)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BROADCAST_ROWS, WordHasher, cut, mix64, read_table, text_parts
+from .common import BROADCAST_ROWS, bound_batches, cut, mix64, read_table, text_parts, WordHasher
 from .graph import components
 
 WORDS = 3
@@ -39,15 +39,20 @@ PERCENT = 90
 #: Sets and set elements of a block.
 BLOCK_SETS, BLOCK_ELEMENTS = 128, 400_000
 #: Signatures a task holds before it ships them.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Cost of comparing a pair, in signatures shipped.
 PAIR_COST = 4.0
+#: Counters of words for the rarest-first order, and the blocks in which they are added up.
+COUNTER_BITS, COUNTER_BLOCKS = 20, 64
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(hasher: WordHasher, part: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all texts, text by text; their numbers; and two hashes of each word sequence."""
+def shingle_sets(hasher: WordHasher, part: list[bytes], k: int, levels: np.ndarray | None = None) -> tuple:
+    """Distinct shingle hashes of all texts, text by text; their numbers; and two hashes of each word sequence.
+
+    With levels (of word counts, by the top bits of the word's hash): also the least level in each shingle.
+    """
     hasher.load(part)
     n, words = len(part), hasher.words
     windows, offsets = hasher.windows(k)
@@ -67,7 +72,15 @@ def shingle_sets(hasher: WordHasher, part: list[bytes], k: int) -> tuple[np.ndar
     first = order[np.concatenate(([True], ranked[1:] != ranked[:-1]))] if len(order) else order
     first = np.sort(first)
     first = first[np.argsort(text[first], kind="stable")]
-    return values[first], np.bincount(text[first], minlength=n), np.array(sequence).T if n else np.zeros((0, 2), np.uint64)
+    out = values[first], np.bincount(text[first], minlength=n), np.array(sequence).T if n else np.zeros((0, 2), np.uint64)
+    if levels is None:
+        return out
+    level = levels[(words >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+    least = level[: max(len(words) - k + 1, 0)].copy()
+    for j in range(1, k):
+        least = np.minimum(least, level[j : len(level) - k + 1 + j]) if len(least) else least
+    start = np.repeat(hasher.word_offsets[:-1] - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])
+    return *out, np.concatenate((least[start] if len(start) else least[:0], np.zeros(len(short), level.dtype)))[first]
 
 
 def sequence_classes(docs: DataFrame, k: int) -> DataFrame:
@@ -158,6 +171,44 @@ def signatures(values: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.
     return (np.concatenate(found), np.concatenate(of)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def word_levels(docs: DataFrame) -> np.ndarray:
+    """floor(log2) of the summed counts of all words, by the top bits of their hashes: 2 ** COUNTER_BITS bytes at any size of the table."""
+    width = (1 << COUNTER_BITS) // COUNTER_BLOCKS
+
+    def count(batches):
+        hasher, total = WordHasher(lower=True), np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for _, part in text_parts(batch.column(1)):
+                hasher.load(part)
+                at, n = np.unique((hasher.words >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), return_counts=True)
+                total[at] += n
+        parts = total.reshape(COUNTER_BLOCKS, width)
+        full = [b for b in range(COUNTER_BLOCKS) if parts[b].any()]
+        at = [np.flatnonzero(parts[b]) for b in full]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([x.astype("<u2").tobytes() for x in at], pa.binary()), pa.array([parts[b][x].astype("<i8").tobytes() for b, x in zip(full, at)], pa.binary())], names=["block", "at", "n"])
+
+    def add(rows):
+        total = np.zeros(width, np.int64)
+        for at, n in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist()):
+            total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
+        level = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
+        return pa.table({"block": rows.column("block").slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
+
+    out = np.zeros((COUNTER_BLOCKS, width), np.uint8)
+    for row in docs.mapInArrow(count, "block int, at binary, n binary").groupBy("block").applyInArrow(add, "block int, level binary").collect():
+        out[row.block] = np.frombuffer(row.level, np.uint8)
+    return out.ravel()
+
+
+def rarest(values: np.ndarray, sizes: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, text): of each set the shingles of least level, ties by hash, of which linked sets share one."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((values, level, text))
+    rank = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    keep = rank < np.repeat(sizes + (-sizes * percent) // 100 + 1, sizes)
+    return mix64(values[order[keep]] ^ PRIME), text[keep]
+
+
 def _meet(signature: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One row for each signature, with the least id; what met here is kept as a signature of its own for each pair (least, other)."""
     order = np.lexsort((ids, signature))
@@ -170,8 +221,10 @@ def _meet(signature: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate((signature[first], name, name)), np.concatenate((ids[first], pair[0], pair[1]))
 
 
-def candidate_links(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """(a, b): sets that agree on a segment, each with the least set there."""
+def candidate_links(docs: DataFrame, k: int, bands: Bands, rare_first: bool = False) -> DataFrame:
+    """(a, b): sets that agree on a segment (rare_first: that share one of their rarest shingles), each with the least set there."""
+    levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs)) if rare_first else None
+    percent = bands.percent
 
     def read(batches):
         hasher, held, size = WordHasher(lower=True), [], 0
@@ -184,8 +237,12 @@ def candidate_links(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, part in text_parts(batch.column(1)):
-                values, sizes, _ = shingle_sets(hasher, part, k)
-                signature, text = signatures(values, sizes, bands)
+                if levels is None:
+                    values, sizes, _ = shingle_sets(hasher, part, k)
+                    signature, text = signatures(values, sizes, bands)
+                else:
+                    values, sizes, _, level = shingle_sets(hasher, part, k, levels.value)
+                    signature, text = rarest(values, sizes, level, percent)
                 held.append((signature, ids[first + text].astype(np.int64)))
                 size += len(signature)
                 if size > HELD:
@@ -198,7 +255,11 @@ def candidate_links(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
 
     rows = docs.mapInArrow(read, "signature long, id long")
     least = F.min("id").over(Window.partitionBy("signature"))
-    return rows.withColumn("a", least).filter("a < id").select("a", F.col("id").alias("b")).distinct()
+    met = rows.withColumn("a", least).filter("a < id").select("a", F.col("id").alias("b")).distinct()
+    # A set meets others on many segments, and a family's sets meet the same few: each is joined to the
+    # least that it met, and that one to the others, which are the same links time and again.
+    first = F.min("a").over(Window.partitionBy("b"))
+    return met.withColumn("first", first).select(F.col("first").alias("a"), F.when(F.col("a") == F.col("first"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
 
 
 class Forest:
@@ -307,9 +368,15 @@ def verified_links(docs: DataFrame, families: DataFrame, sizes: DataFrame, k: in
     return dealt.repartition("label", "one", "two").sortWithinPartitions("label", "one", "two", "node").mapInArrow(compare, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: the least doc_id that links of at least percent / 100 reach."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rare_first: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id: the least doc_id that links of at least percent / 100 reach.
+
+    rare_first finds the same links by other candidates, for thresholds at
+    which segments hold too few shingles to tell sets apart: each set offers
+    its rarest shingles, size - ceil(size * percent / 100) + 1 of them, by the
+    count of their rarest word.
+    """
+    docs = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = cut(sequence_classes(docs, k))
     classes = cut(sets.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")))
     # Sizes: as many rows as there are different set sizes, at most some thousands of a long text's words.
@@ -318,7 +385,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     dropped = cut(sets.join(repeated, ["d1", "d2"]).filter("doc_id <> id").select("doc_id").distinct())
     n_dropped = dropped.count()
     kept = docs.join(F.broadcast(dropped) if n_dropped <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").filter("doc_id IS NOT NULL")
-    families = components(candidate_links(kept, k, bands))
+    families = components(candidate_links(kept, k, bands, rare_first))
     links = cut(verified_links(kept, families, classes.select("id", "n"), k, percent))
     joined = components(links)
     of_class = cut(classes.join(joined, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("label", "id").alias("component_id")))

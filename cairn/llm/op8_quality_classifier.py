@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHasher, cut, mix64, read_table, text_parts
+from .common import bound_batches, cut, mix64, read_table, text_parts, WordHasher
 from .op1_quality_rules import text_counts
 
 #: Documents that train the scorer, at most.
@@ -161,7 +161,7 @@ def train_scorer(x: np.ndarray, target: np.ndarray, steps: int = STEPS, rate: fl
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def vote_table(docs: DataFrame) -> DataFrame:
@@ -232,8 +232,8 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, keep_columns: bool =
 
     read = F.col("text").cast("string").alias("_text")
     if not keep_columns:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), read).mapInArrow(score, SCHEMA)
-    frame = docs.select(*names, read)
+        return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), read).mapInArrow(score, SCHEMA)
+    frame = bound_batches(docs).select(*names, read)
     schema = frame.drop("_text").select("*", F.lit(None).cast("double").alias("posterior"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("quality")).schema
     return frame.mapInArrow(score, schema)
 

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHasher, read_table, text_parts
+from .common import bound_batches, read_table, text_parts, WordHasher
 
 LENGTH = 1024
 END_ID = 0
@@ -182,7 +182,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
         if ids:
             yield close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, SCHEMA)
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the least doc_id stays; of repeated rows, one."""
-    groups = cut(jaccard_components(docs, WORDS, PERCENT))
+    groups = cut(jaccard_components(docs, WORDS, PERCENT, rare_first=True))
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = groups.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count()

@@ -237,8 +237,8 @@ def brute_components(rows, k, percent):
     return {d: (len(sets[d]), root(d)) for d in ids}
 
 
-@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
-def test_jaccard(spark, docs, k, percent):
+@pytest.mark.parametrize("k, percent, rare_first", [(3, 90, False), (5, 80, False), (5, 80, True), (3, 90, True)])
+def test_jaccard(spark, docs, k, percent, rare_first):
     import random
 
     from cairn.llm.op6_ngram_jaccard_join import jaccard_components
@@ -252,7 +252,7 @@ def test_jaccard(spark, docs, k, percent):
                 w[r.randrange(len(w))] = f"z{r.randint(0, 9)}"
             rows.append((1000 + g * 10 + m, " ".join(w)))
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_components(d, k, percent).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_components(d, k, percent, rare_first).collect()}
     assert got == brute_components(rows, k, percent)
 
 
