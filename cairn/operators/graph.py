@@ -115,17 +115,28 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "path") -> DataFrame:
-    """(path, component): the least node that links reach, by label minima and pointer jumping."""
-    both = cut(both_ways(edges).filter("src <> dst"))
-    labels = cut(nodes.select(F.col(node).alias("path")).distinct().withColumn("component", F.col("path")))
-    while True:
-        near = both.join(labels.select(F.col("path").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("path")).agg(F.min("component").alias("near"))
-        lower = cut(labels.join(near, "path", "left").select("path", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component")))
-        jump = lower.select(F.col("path").alias("component"), F.col("component").alias("further"))
-        new = cut(lower.join(jump, "component").select("path", "was", F.least("component", "further").alias("component")))
-        if new.filter("component <> was").isEmpty():
-            return new.select("path", "component")
-        labels = new.select("path", "component")
+    """(path, component): the least node that links reach.
+
+    Each round moves every linked node to its least neighbour, follows that
+    move once more, and contracts the links; what is left of them shrinks by
+    half at least, and minima are aggregated before they are shuffled.
+    """
+    every = nodes.select(F.col(node).alias("path")).distinct()
+    ends = edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    left, labels = cut(ends.distinct()), None
+    while not left.isEmpty():
+        both = left.select("src", "dst").union(left.select("dst", "src"))
+        low = cut(both.groupBy(F.col("src").alias("path")).agg(F.least(F.min("dst"), F.col("src")).alias("component")))
+        jump = low.select(F.col("path").alias("component"), F.col("component").alias("further"))
+        moved = cut(low.join(jump, "component").select("path", F.col("further").alias("component")))
+        to = moved.select(F.col("path").alias("component"), F.col("component").alias("to"))
+        labels = moved if labels is None else cut(labels.join(to, "component", "left").select("path", F.coalesce("to", "component").alias("component")))
+        one, two = (moved.select(F.col("path").alias(end), F.col("component").alias(f"{end}_label")) for end in ("src", "dst"))
+        rest = left.join(one, "src").join(two, "dst").filter("src_label <> dst_label")
+        left = cut(rest.select(F.least("src_label", "dst_label").alias("src"), F.greatest("src_label", "dst_label").alias("dst")).distinct())
+    if labels is None:
+        return every.withColumn("component", F.col("path"))
+    return every.join(labels, "path", "left").select("path", F.coalesce("component", "path").alias("component"))
 
 
 def _sweep(group: pd.DataFrame, rounds: int) -> pd.DataFrame:
