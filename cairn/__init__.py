@@ -1 +1,10 @@
-"""Spark-first knowledge retrieval and corpus analytics over document collections."""
+"""Spark-first knowledge retrieval and corpus analytics over document collections.
+
+Functions that run on executors are pickled by value, so a cluster needs no
+installed copy of the package.
+"""
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,14 +1,9 @@
 """YAML frontmatter.  The block is split off by column expressions; only YAML itself is read in Python, in batches."""
 from __future__ import annotations
 
-import sys
-
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 _TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
 FIELDS = T.StructType([T.StructField(n, t) for n, t in (("title", _TEXT), ("created", _TEXT), ("modified", _TEXT), ("tags", _TEXTS), ("aliases", _TEXTS), ("cssclasses", _TEXTS), ("raw", _TEXT))])
 

@@ -1,14 +1,9 @@
 """Ratcliff-Obershelp similarity, for which SQL has no counterpart."""
 from __future__ import annotations
 
-import sys
-
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:

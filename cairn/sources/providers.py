@@ -6,18 +6,14 @@ batches, with retries, and makes its client once for each task.
 """
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 from cairn.functions.text import tokenize
 from cairn.functions.vectors import hashed_embedding
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 ATTEMPTS, WAIT = 2, 2.0
 
 
