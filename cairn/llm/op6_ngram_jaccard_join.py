@@ -200,13 +200,25 @@ def word_levels(docs: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def rarest(values: np.ndarray, sizes: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text): of each set the shingles of least level, ties by hash, of which linked sets share one."""
+def rarest(values: np.ndarray, sizes: np.ndarray, level: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, text): of each set the shingles of least level, ties by hash, of which linked sets share one.
+
+    A signature names the size band too, the set's own or, where a link can
+    reach it, the next, so that sets of far sizes don't meet.
+    """
     text = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((values, level, text))
     rank = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    keep = rank < np.repeat(sizes + (-sizes * percent) // 100 + 1, sizes)
-    return mix64(values[order[keep]] ^ PRIME), text[keep]
+    keep = rank < np.repeat(sizes + (-sizes * bands.percent) // 100 + 1, sizes)
+    shingle, text = values[order[keep]], text[keep]
+    own = bands.of(sizes)
+    low, filled = np.array(bands.low), bands.filled
+    after = np.minimum(own + 1, len(bands.low) - 1)
+    reaches = filled[after] & (sizes * 100 >= low[after] * bands.percent)
+    band = own.astype(np.uint64)
+    both = reaches[text]
+    named = lambda s, t: mix64(mix64(s ^ PRIME) + t * PRIME)
+    return np.concatenate((named(shingle, band[text]), named(shingle[both], band[text[both]] + np.uint64(1)))), np.concatenate((text, text[both]))
 
 
 def _meet(signature: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +236,6 @@ def _meet(signature: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def candidate_links(docs: DataFrame, k: int, bands: Bands, rare_first: bool = False) -> DataFrame:
     """(a, b): sets that agree on a segment (rare_first: that share one of their rarest shingles), each with the least set there."""
     levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs)) if rare_first else None
-    percent = bands.percent
 
     def read(batches):
         hasher, held, size = WordHasher(lower=True), [], 0
@@ -242,7 +253,7 @@ def candidate_links(docs: DataFrame, k: int, bands: Bands, rare_first: bool = Fa
                     signature, text = signatures(values, sizes, bands)
                 else:
                     values, sizes, _, level = shingle_sets(hasher, part, k, levels.value)
-                    signature, text = rarest(values, sizes, level, percent)
+                    signature, text = rarest(values, sizes, level, bands)
                 held.append((signature, ids[first + text].astype(np.int64)))
                 size += len(signature)
                 if size > HELD:
