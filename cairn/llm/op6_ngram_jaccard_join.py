@@ -340,43 +340,49 @@ def compare_blocks(ids: list[int], texts: list[bytes], side: list[int], k: int,
     return links
 
 
-def verified_links(docs: DataFrame, families: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
+def verified_links(docs: DataFrame, families: DataFrame, sizes: DataFrame, k: int, percent: int, bands: Bands | None = None) -> DataFrame:
     """(a, b): links among the members of each family, enough to connect all that is linked.
 
     families: node, label; sizes: id, n.  A family of more than one block is
     compared block by block, so a member is shipped as often as there are blocks.
+    With bands, a family is cut by size first: a member takes part in its own
+    band and in the next, and linked ones share one of these.
     """
-    members = cut(families.join(sizes, families.node == sizes.id).select("node", "label", "n"))
-    blocks = cut(members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks")))
-    placed = cut(members.join(blocks, "label").select("node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    band = F.lit(0)
+    if bands is not None:
+        own = F.size(F.filter(F.array(*map(F.lit, bands.low)), lambda x: x <= F.col("n"))) - 1
+        band = F.explode(F.array(own, own + 1))
+    members = cut(families.join(sizes, families.node == sizes.id).select("node", "label", "n", band.alias("band")))
+    blocks = cut(members.groupBy("label", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks")))
+    placed = cut(members.join(blocks, ["label", "band"]).select("node", "label", "band", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
     rows = placed.count()
     placed = F.broadcast(placed) if rows <= BROADCAST_ROWS else placed
     with_text = docs.join(placed, docs.doc_id == placed.node)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = with_text.select("node", "label", "block", other.alias("with"), "text").select("label", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "node", (F.col("block") == F.greatest("block", "with")).cast("int").alias("second"), "text")
+    dealt = with_text.select("node", "label", "band", "block", other.alias("with"), "text").select("label", "band", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "node", (F.col("block") == F.greatest("block", "with")).cast("int").alias("second"), "text")
 
     def compare(batches):
         key, ids, side, texts = None, [], [], []
 
         def done():
-            links = compare_blocks(ids, texts, [s if key[1] != key[2] else 0 for s in side], k, percent) if len(ids) > 1 else []
+            links = compare_blocks(ids, texts, [s if key[2] != key[3] else 0 for s in side], k, percent) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            raw = batch.column(5).cast(pa.large_binary()).to_pylist()
-            for label, one, two, node, second, text in zip(*columns, raw):
-                if key != (label, one, two):
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            raw = batch.column(6).cast(pa.large_binary()).to_pylist()
+            for label, band, one, two, node, second, text in zip(*columns, raw):
+                if key != (label, band, one, two):
                     if key is not None:
                         yield done()
-                    key, ids, side, texts = (label, one, two), [], [], []
+                    key, ids, side, texts = (label, band, one, two), [], [], []
                 ids.append(node)
                 side.append(second)
                 texts.append(text or b"")
         if key is not None:
             yield done()
 
-    return dealt.repartition("label", "one", "two").sortWithinPartitions("label", "one", "two", "node").mapInArrow(compare, "a long, b long")
+    return dealt.repartition("label", "band", "one", "two").sortWithinPartitions("label", "band", "one", "two", "node").mapInArrow(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rare_first: bool = False) -> DataFrame:
@@ -397,7 +403,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     n_dropped = dropped.count()
     kept = docs.join(F.broadcast(dropped) if n_dropped <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").filter("doc_id IS NOT NULL")
     families = components(candidate_links(kept, k, bands, rare_first))
-    links = cut(verified_links(kept, families, classes.select("id", "n"), k, percent))
+    links = cut(verified_links(kept, families, classes.select("id", "n"), k, percent, bands if rare_first else None))
     joined = components(links)
     of_class = cut(classes.join(joined, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("label", "id").alias("component_id")))
     full = sets.filter("n_shingles > 0").join(of_class, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
