@@ -7,9 +7,11 @@ back by repeated membership probes until one fails.  Pair probabilities are
 Dirichlet-smoothed towards the word probabilities, and a text's score mixes
 both orders: log10(PAIR_SHARE * P_pairs + (1 - PAIR_SHARE) * P_words).
 
-The filter has 8 bits for each training token up to MAX_FILTER_BITS (64 MB),
-which bounds the broadcast; beyond that all n-grams are still stored and the
-rate of false positives rises.  Exact word counts are broadcast for at most
+The filter has 8 bits for each training token at any size, in segments by the
+n-gram's top bits.  Up to MAX_FILTER_BITS (64 MB) it is broadcast; a larger one
+stays a table of segments, and each block of texts joins its n-grams with the
+segments and gets their levels back, so both ways give the same scores.  Exact
+word counts are broadcast for at most
 TOP_WORDS words; all rarer ones are joined, so the base score is exact at any
 size.  Words are told apart by 64-bit hashes.
 
@@ -19,6 +21,8 @@ follow from the formulas; an empty table gives an empty result.
 """
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,6 +32,7 @@ from .common import bound_batches, cut, mix64, read_table, text_parts, WordHashe
 FOLDS, HELD_OUT_FOLD = 5, 1
 TOP_WORDS = 1 << 20
 BITS_PER_TOKEN = 8
+#: The largest filter that is broadcast.
 MAX_FILTER_BITS = 1 << 29
 PRIOR_WEIGHT = 8.0
 PAIR_SHARE = 0.5
@@ -166,6 +171,21 @@ class LogFilter:
         self.shift = np.uint64(64 - (segments.bit_length() - 1))
         self.size = len(bits) * 8 // segments
 
+    @classmethod
+    def sized(cls, n_tokens: int) -> LogFilter:
+        """A filter for n_tokens training tokens, without its bits."""
+        segments = 1 << max(0, (max(1, n_tokens // SEGMENT_TOKENS) - 1).bit_length())
+        segments = min(max(segments, MIN_SEGMENTS), MAX_SEGMENTS)
+        size = max(64, BITS_PER_TOKEN * n_tokens // segments // 8 * 8)
+        hashes = min(max(1, round(size * segments / max(n_tokens, 1) * 0.69)), 6)
+        out = cls(np.zeros(0, np.uint8), segments, hashes)
+        out.size = size
+        return out
+
+    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segments of keys, and what is told apart within them."""
+        return (keys >> self.shift).astype(np.int64), _kept(keys << (np.uint64(64) - self.shift))
+
     def places(self, keys: np.ndarray, level: int):
         """Bit places of (key, level) within the key's segment, one array for each hash."""
         h = mix64(keys + np.uint64(int(LEVEL) * level & 0xFFFFFFFFFFFFFFFF))
@@ -175,15 +195,18 @@ class LogFilter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level up to which all memberships hold."""
-        segment, rest = keys >> self.shift, _kept(keys << (np.uint64(64) - self.shift))
-        base = segment.astype(np.int64) * self.size
-        out, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+        segment, rest = self.split(keys)
+        return self.probe(self.bits, rest, segment * self.size)
+
+    def probe(self, bits: np.ndarray, rest: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Levels of keys whose segments begin at the bits base."""
+        out, alive, level = np.zeros(len(rest), np.int64), np.arange(len(rest)), 1
         while len(alive) and level < 64:
             here, key = base[alive], rest[alive]
             hit = np.ones(len(alive), bool)
             for p in self.places(key, level):
                 p = p.astype(np.int64) + here
-                hit &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8) & np.uint8(1)).astype(bool)
+                hit &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & np.uint8(1)).astype(bool)
             alive = alive[hit]
             out[alive] = level
             level += 1
@@ -205,27 +228,93 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 0.75 * np.exp2(levels.astype(np.float64)) - 0.5, 0.0)
 
 
-def build_filter(training: DataFrame, n_tokens: int, max_bits: int = MAX_FILTER_BITS) -> LogFilter:
-    segments = 1 << max(0, (max(1, n_tokens // SEGMENT_TOKENS) - 1).bit_length())
-    segments = min(max(segments, MIN_SEGMENTS), MAX_SEGMENTS)
-    size = max(64, min(BITS_PER_TOKEN * n_tokens, max_bits) // segments // 8 * 8)
-    hashes = min(max(1, round(size * segments / max(n_tokens, 1) * 0.69)), 6)
-    frame = LogFilter(np.zeros(0, np.uint8), segments, hashes)
-    frame.size = size
+def filter_segments(training: DataFrame, frame: LogFilter) -> DataFrame:
+    """segment and bits of the filter; a segment without n-grams has no row."""
 
     def fill(table: pa.Table) -> pa.Table:
         keys, counts = _merge([_unblob(x) for x in table.column("grams").to_pylist()])
-        level, bits = quantise(counts), np.zeros(size, np.uint8)
+        level, bits = quantise(counts), np.zeros(frame.size, np.uint8)
         for q in range(1, int(level.max(initial=0)) + 1):
             for p in frame.places(keys[level >= q], q):
                 bits[p.astype(np.int64)] = 1
         return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    built = ngram_blobs(training, segments).groupBy("segment").applyInArrow(fill, "segment int, bits binary")
-    bits = np.zeros((segments, size // 8), np.uint8)
-    for segment, raw in zip(*(c.to_pylist() for c in built.toArrow().columns)):  # max_bits / 8 bytes at most
+    return ngram_blobs(training, frame.segments).groupBy("segment").applyInArrow(fill, "segment int, bits binary")
+
+
+def collect_filter(built: DataFrame, frame: LogFilter) -> LogFilter:
+    bits = np.zeros((frame.segments, frame.size // 8), np.uint8)
+    for segment, raw in zip(*(c.to_pylist() for c in built.toArrow().columns)):  # MAX_FILTER_BITS / 8 bytes at most
         bits[segment] = np.frombuffer(raw, np.uint8)
-    return LogFilter(bits.ravel(), segments, hashes)
+    return LogFilter(bits.ravel(), frame.segments, frame.hashes)
+
+
+def _blocks(batches):
+    """(block, mark, batch, first, part) of each part of texts; mark is a checksum that tells whether two reads of docs agree."""
+    from pyspark import TaskContext
+
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for first, part in text_parts(batch.column(2)):
+            yield block, zlib.crc32(b"\n".join(part)), batch, first, part
+            block += 1
+
+
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """docs with their block and their place in it."""
+
+    def read(batches):
+        for block, mark, batch, first, part in _blocks(batches):
+            n = len(part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, mark)), pa.array(np.arange(n, dtype=np.int32)), *(batch.column(k).slice(first, n) for k in range(3))], names=["block", "mark", "place", "doc_id", "held_out", "text"])
+
+    return docs.mapInArrow(read, "block long, mark long, place int, doc_id long, held_out boolean, text string")
+
+
+def asked_segments(docs: DataFrame, frame: LogFilter, probes) -> DataFrame:
+    """block, mark, segment and the n-grams that the block asks of it, sorted and packed; probes(tokens, before) gives a part's sorted keys."""
+
+    def read(batches):
+        hasher = WordHasher(lower=True)
+        for block, mark, _, _, part in _blocks(batches):
+            tokens, before, _ = token_stream(hasher, part)
+            segment, rest = frame.split(probes(tokens, before))
+            cuts = np.concatenate((np.flatnonzero(np.diff(segment, prepend=-1)), [len(segment)]))
+            for k in range(0, len(cuts) - 1, 1024):
+                some = cuts[k : k + 1025]
+                n = len(some) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, mark)), pa.array(segment[some[:-1]].astype(np.int32)), pa.array([_pack(rest[i:j]) for i, j in zip(some[:-1], some[1:])], pa.binary())], names=["block", "mark", "segment", "keys"])
+
+    return docs.mapInArrow(read, "block long, mark long, segment int, keys binary")
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """The top 40 bits of each key."""
+    return (keys >> np.uint64(32)).astype("<u4").tobytes() + (keys >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) << np.uint64(32) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(24)
+
+
+def joined_levels(asked: DataFrame, built: DataFrame, frame: LogFilter) -> DataFrame:
+    """block, mark, segment and a byte of level for each of its keys, in their order."""
+    kinds = pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("segment", pa.int32()), ("levels", pa.binary())])
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return kinds.empty_table()
+        keys = [_unpack(x) for x in left.column("keys").to_pylist()]
+        rest = np.concatenate(keys)
+        if right.num_rows:
+            level = frame.probe(np.frombuffer(right.column("bits")[0].as_py(), np.uint8), rest, np.zeros(len(rest), np.int64)).astype(np.uint8)
+        else:
+            level = np.zeros(len(rest), np.uint8)
+        ends = np.cumsum([len(k) for k in keys])
+        return pa.table([left.column("block"), left.column("mark"), left.column("segment"), pa.array([level[e - len(k) : e].tobytes() for e, k in zip(ends, keys)], pa.binary())], schema=kinds)
+
+    return asked.groupBy("segment").cogroup(built.groupBy("segment")).applyInArrow(probe, "block long, mark long, segment int, levels binary")
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
@@ -249,52 +338,80 @@ def score_documents(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, top
     top_word = top.column("word").to_numpy().view(np.uint64)
     order = np.argsort(top_word)
     n_training = int(training.count())
-    model = spark.sparkContext.broadcast((top_word[order], top.column("n").to_numpy()[order], build_filter(training, n_tokens, max_filter_bits)))
+    frame = LogFilter.sized(n_tokens)
+    built, whole = filter_segments(training, frame), frame.size * frame.segments <= max_filter_bits
+    model = spark.sparkContext.broadcast((top_word[order], top.column("n").to_numpy()[order], collect_filter(built, frame) if whole else None))
     floor = np.log10(n_tokens + 0.5 * (n_words + 1))
 
+    def lookup(tokens):
+        """Exact counts of frequent words, and which those are."""
+        top_word, top_n, _ = model.value
+        at = np.minimum(np.searchsorted(top_word, tokens), max(len(top_word) - 1, 0))
+        found = top_word[at] == tokens if len(top_word) else np.zeros(len(tokens), bool)
+        return np.where(found, top_n[at] if len(top_word) else 0, 0), found
+
+    def probes(tokens, before):
+        unique = np.unique(tokens)
+        return np.unique(np.concatenate((single_key(unique[~lookup(unique)[1]]), pair_key(before, tokens))))
+
+    def score_part(doc_id, held_out, stream, keys, levels):
+        """Scores of a part's texts from the levels of its probes."""
+        tokens, before, offsets = stream
+        n, text = len(doc_id), np.repeat(np.arange(len(doc_id)), np.diff(offsets))
+        unique, inverse = np.unique(tokens, return_inverse=True)
+        count, found = lookup(unique)
+        count = count.astype(np.float64)
+        estimate = count.copy()
+        estimate[~found] = count_of(levels[np.searchsorted(keys, single_key(unique[~found]))])
+        log_base = np.where(found, np.log10(count + 0.5), 0.0)
+        frequent = found[inverse]
+        base = np.bincount(text, log_base[inverse], n)
+        known = np.bincount(text, frequent, n).astype(np.int64)
+        p_word = (estimate[inverse] + 0.5) / 10**floor
+        context = np.empty(len(tokens))
+        context[1:] = estimate[inverse][:-1]
+        context[offsets[:-1]] = n_training
+        pair = count_of(levels[np.searchsorted(keys, pair_key(before, tokens))])
+        pair = np.minimum(pair, context)
+        p_pair = (pair + prior_weight * p_word) / (context + prior_weight)
+        words, pairs = (np.bincount(text, np.log10(p), n) for p in (p_word, p_pair))
+        with np.errstate(divide="ignore"):
+            a, b = words + np.log10(1 - pair_share), pairs + np.log10(pair_share)
+        most = np.maximum(a, b)
+        score = most + np.log10(10 ** (a - most) + 10 ** (b - most))
+        rare = tokens[~frequent].view(np.int64)
+        rare_offsets = np.concatenate(([0], np.cumsum(np.bincount(text[~frequent], minlength=n))))
+        return [doc_id, held_out, pa.array(np.diff(offsets).astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(rare_offsets.astype(np.int32)), pa.array(rare))]
+
+    names = [x.split()[0] for x in SCORED.split(", ")]
+
     def score(batches):
         hasher = WordHasher(lower=True)
-        top_word, top_n, bloom = model.value
-
-        def lookup(tokens):
-            """Exact counts of frequent words, and which those are."""
-            at = np.minimum(np.searchsorted(top_word, tokens), max(len(top_word) - 1, 0))
-            found = top_word[at] == tokens if len(top_word) else np.zeros(len(tokens), bool)
-            return np.where(found, top_n[at] if len(top_word) else 0, 0), found
-
         for batch in batches:
             for first, part in text_parts(batch.column(2)):
-                tokens, before, offsets = token_stream(hasher, part)
-                n, text = len(part), np.repeat(np.arange(len(part)), np.diff(offsets))
-                unique, inverse = np.unique(tokens, return_inverse=True)
-                count, found = lookup(unique)
-                count = count.astype(np.float64)
-                estimate = count.copy()
-                estimate[~found] = count_of(bloom.levels(single_key(unique[~found])))
-                log_base = np.where(found, np.log10(count + 0.5), 0.0)
-                frequent = found[inverse]
-                base = np.bincount(text, log_base[inverse], n)
-                known = np.bincount(text, frequent, n).astype(np.int64)
-                p_word = (estimate[inverse] + 0.5) / 10**floor
-                context = np.empty(len(tokens))
-                context[1:] = estimate[inverse][:-1]
-                context[offsets[:-1]] = n_training
-                pair = count_of(bloom.levels(pair_key(before, tokens)))
-                pair = np.minimum(pair, context)
-                p_pair = (pair + prior_weight * p_word) / (context + prior_weight)
-                words, pairs = (np.bincount(text, np.log10(p), n) for p in (p_word, p_pair))
-                with np.errstate(divide="ignore"):
-                    a, b = words + np.log10(1 - pair_share), pairs + np.log10(pair_share)
-                most = np.maximum(a, b)
-                score = most + np.log10(10 ** (a - most) + 10 ** (b - most))
-                rare = tokens[~frequent].view(np.int64)
-                rare_offsets = np.concatenate(([0], np.cumsum(np.bincount(text[~frequent], minlength=n))))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(np.diff(offsets).astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(rare_offsets.astype(np.int32)), pa.array(rare))],
-                    names=[x.split()[0] for x in SCORED.split(", ")],
-                )
-
-    scored = cut(docs.mapInArrow(score, SCORED).withColumn("row", F.monotonically_increasing_id()))
+                stream = token_stream(hasher, part)
+                keys = probes(*stream[:2])
+                yield pa.RecordBatch.from_arrays(score_part(batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), stream, keys, model.value[2].levels(keys)), names=names)
+
+    hashers = []
+
+    def score_block(texts: pa.Table, levels: pa.Table) -> pa.Table:
+        texts = texts.sort_by("place").combine_chunks()
+        if not hashers:
+            hashers.append(WordHasher(lower=True))
+        stream = token_stream(hashers[0], [x or b"" for x in texts.column("text").cast(pa.large_binary()).to_pylist()])
+        levels = np.frombuffer(b"".join(levels.sort_by("segment").column("levels").to_pylist()), np.uint8).astype(np.int64)
+        keys = probes(*stream[:2])
+        if len(keys) != len(levels):
+            raise ValueError("docs gave other blocks of texts when they were read again")
+        return pa.table(score_part(texts.column("doc_id"), texts.column("held_out"), stream, keys, levels), names=names)
+
+    if whole:
+        rows = docs.mapInArrow(score, SCORED)
+    else:
+        levels = joined_levels(asked_segments(docs, frame, probes), cut(built), frame)
+        rows = text_blocks(docs).groupBy("block", "mark").cogroup(levels.groupBy("block", "mark")).applyInArrow(score_block, SCORED)
+    scored = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode("rare").alias("word"))
     joined = rare.join(vocabulary.filter(F.col("n") < least), "word", "left")
     sums = joined.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_base"), F.count("n").alias("rare_known"))

@@ -411,6 +411,23 @@ def test_log_filter():
     assert (frame.levels(op.mix64(np.arange(9_000_001, 9_005_001, dtype=np.uint64))) == 0).mean() > 0.97
 
 
+def test_lm_filter_as_table(spark, docs):
+    """A filter beyond what is broadcast stays whole: the scores are those of the broadcast one."""
+    from cairn.llm.op10_lm_scoring import score_documents
+
+    want, got = (sorted(map(str, score_documents(docs, max_filter_bits=bits, top_words=top).collect())) for bits, top in ((1 << 29, 8), (1 << 10, 8)))
+    assert got == want
+    assert score_documents(edge.empty(spark), max_filter_bits=0).count() == 0
+
+
+def test_log_filter_grows():
+    from cairn.llm import op10_lm_scoring as op
+
+    for n in (10**6, 10**8, 4 * 10**9):
+        frame = op.LogFilter.sized(n)
+        assert frame.size * frame.segments > 7.9 * n and frame.hashes == 6
+
+
 # pipeline
 
 
