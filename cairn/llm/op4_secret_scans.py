@@ -1,7 +1,9 @@
 """Secret scans: candidate strings by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least 16 characters of keys and identifiers that
-holds a digit.  Features: its length, character transitions (changes of
+A candidate is a run of at least 16 characters of keys and identifiers, split
+at '=', or what is assigned to a secret's name, of any length and characters.
+What is assigned is masked in its place if it is short, runs wherever they
+occur.  Features: its length, character transitions (changes of
 character class, of letter kind, repeated characters), coverage by a
 dictionary, the path and the neighbouring words.  The forest is trained on
 labelled findings, which a generator with a fixed seed makes from public key
@@ -28,7 +30,9 @@ THRESHOLD = 0.5
 MASK = "[SECRET]"
 
 SPACE = r"[\x20\x09-\x0D]+"
-RUN = r"[A-Za-z0-9_+/=.\-]{16,}"
+#: A JSON web token, whose parts may be padded, or a run.
+RUN = r"eyJ[A-Za-z0-9_=\-]+\.[A-Za-z0-9_=.+/\-]+|[A-Za-z0-9_+/.\-]{16,}"
+LEAST = 16
 #: Words that key names, code and prose are made of.
 DICTIONARY = (
     "access account admin alpha api application archive article auth background base beta build cache change class client cloud code commit config content copy count create data database date debug default delete demo design dev digest document download edit element email error event example export false field file filter final first folder format frame function group handler hash header hello home host html http image import index info input item json key label language last layout level library line link list local login main manager master member message method model module month name network new node null number object office open option order output page panel param parent password path photo place policy post preview private process product profile project public query read record release remote render report request resource response result return root sample search second secret section select server service session setting simple source staging start state static status store string style submit support system table target task template test text that the this time title token tool true type update upload user value version video view widget window with word world write year"
@@ -38,6 +42,11 @@ SECRET_WORDS = ("token", "secret", "passw", "pwd", "api_key", "apikey", "api-key
 OTHER_WORDS = ("commit", "sha1", "sha256", "md5", "digest", "checksum", "hash", "uuid", "guid", "revision", "rev", "version", "build", "example", "sample", "dummy", "placeholder", "fake", "etag", "integrity", "isbn", "order", "invoice", "trace", "session-id", "request")
 KNOWN_FORMS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_=-]+\.[A-Za-z0-9_=-]+\.?[A-Za-z0-9_+/=-]*|glpat-[A-Za-z0-9_-]{20,})$"
 
+#: A secret's name, the sign of an assignment, and a value.
+NAMED = "(?i:" + "|".join(w.replace("-", "[-]") for w in SECRET_WORDS) + r")[A-Za-z0-9_.\-]*[\"'`]?"
+ASSIGN = r"(?:=>|:=|==?|:)"
+VALUE = r"[^\x20\x09-\x0D\"'`,;<>(){}\[\]&|=:][^\x20\x09-\x0D\"'`,;<>(){}\[\]&|]*"
+
 NAMES = ["length", "class_changes", "vowel_changes", "repeats", "distinct", "digits", "uppers", "hexadecimal", "uuid", "known", "coverage", "separators", "path", "secret_near", "other_near", "assigned"]
 
 
@@ -72,6 +81,7 @@ def labelled_findings(n: int = LABELLED, seed: int = 11) -> list[tuple[str, str,
     hexa, word62, upper = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     draw = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
     syllables = [c + v for c in "bcdfghlmnprstv" for v in "aeiou"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 5)))
     prose = lambda: " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(2))
     paths = ["src", "app/main.py", "config/settings.env", "web/crawl", "notes", "tests/test_api.py", "docs/readme.md", "package-lock.json", "", "src7"]
     out = []
@@ -81,7 +91,10 @@ def labelled_findings(n: int = LABELLED, seed: int = 11) -> list[tuple[str, str,
             name = r.choice(["token", "secret", "api_key", "apikey", "password", "access_key", "auth_token", "client_secret", "private_key", "bearer"])
             join = r.choice([" = \"", " = ", "=", "=\"", ": ", ": \"", " "])
             before = f"{prose()} {name}{join}" if r.random() < 0.93 else prose() + " "
-            if kind < 0.45:
+            if kind < 0.15:
+                c = r.choice([draw(word62, r.randint(6, 15)), draw(word62 + "!@#$%^*?_+-", r.randint(8, 24)), word() + str(r.randint(1, 9999)), word().title() + str(r.randint(1, 9999)) + r.choice("!?#$"), word() + word()])
+                before = f"{prose()} {name}{r.choice([' = ', '=', ': ', ':', '=' + chr(34), ': ' + chr(34), ' = ' + chr(34)])}"
+            elif kind < 0.45:
                 c = draw(hexa, r.choice([32, 40, 40, 40, 48, 64]))
             elif kind < 0.7:
                 c = draw(word62 + "_-" * (r.random() < 0.5), r.randint(20, 48))
@@ -90,11 +103,30 @@ def labelled_findings(n: int = LABELLED, seed: int = 11) -> list[tuple[str, str,
             else:
                 c = r.choice(["AKIA" + draw(upper, 16), "ghp_" + draw(word62, 36), "sk_live_" + draw(word62, 24), "AIza" + draw(word62, 35), "xoxb-" + draw("0123456789", 12) + "-" + draw(word62, 24), "eyJ" + draw(word62, 30) + "." + draw(word62, 60), "glpat-" + draw(word62, 20)])
                 before = before if r.random() < 0.6 else prose() + " "
-            c = c if any(x.isdigit() for x in c) else c + "7"
             out.append((c, before.lower(), path, 1))
             continue
         name = r.choice(["commit", "sha256", "md5", "digest", "checksum", "uuid", "revision", "version", "build", "etag", "trace", "integrity", "order", "request"])
         before = r.choice([f"{prose()} {name} ", f"{prose()} {name}: ", f"{prose()} {name}=", f"{prose()} "])
+        if r.random() < 0.35:
+            # Without digits, or short: prose, names and paths, also where a secret's name stands before them.
+            near = r.choice(["token", "secret", "api_key", "password", "key", "auth", "private"]) + r.choice([" = ", "=", ": ", "=\"", " "])
+            before = f"{prose()} {near}" if r.random() < 0.4 else before
+            pick = r.random()
+            if pick < 0.35:
+                c = "".join(r.choice(syllables) for _ in range(r.randint(8, 12))) + r.choice(["", "n", "s", "ng", "tion"])
+                c, before = r.choice([c, c, c.title(), c.upper()]), f"{prose()} "
+            elif pick < 0.6:
+                c = r.choice(["_", "-", ".", "/", "/"]).join(r.choice(DICTIONARY) for _ in range(r.randint(3, 6)))
+                c = c.upper() if r.random() < 0.2 else c
+            elif pick < 0.75:
+                c = "".join(w.title() for w in r.sample(DICTIONARY, 4))
+                c = c[0].lower() + c[1:] if r.random() < 0.5 else c
+            else:
+                c = r.choice([r.choice(DICTIONARY), r.choice(DICTIONARY) + r.choice("_-.") + r.choice(DICTIONARY), r.choice(DICTIONARY) + r.choice(DICTIONARY).title(), "true", "false", "null", "None", "xxxx", "****", "...", str(r.randint(0, 99))])
+                out.append((c, f"{prose()} {near if near[-1] != ' ' or '=' in near or ':' in near else near[:-1] + '='}".lower(), path, 0))
+                continue
+            out.append((c if len(c) >= LEAST else c + "".join(r.choice(DICTIONARY) for _ in range(6)), before.lower(), path, 0))
+            continue
         if kind < 0.25:
             c = draw(hexa, r.choice([32, 40, 64, 40]))
             before = f"{prose()} {name}{r.choice([' ', ': ', '=', ' = '])}"
@@ -134,21 +166,32 @@ def candidates(text: Column, path: Column) -> Column:
 
     def at(w: Column) -> Column:
         numbered = F.transform(w, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-        held = F.filter(numbered, lambda s: (F.length(s["x"]) >= 16) & s["x"].rlike("[0-9]") & s["x"].rlike(RUN))
+        held = F.filter(numbered, lambda s: (F.length(s["x"]) >= LEAST) & s["x"].rlike(RUN) | s["x"].rlike("[=:]") | near(w, s["i"] - 1).rlike("[=:]"))
 
         def of_word(s: Column) -> Column:
-            runs = F.filter(F.regexp_extract_all(s["x"], F.lit(f"({RUN})"), F.lit(1)), lambda c: c.rlike("[0-9]"))
-            before = F.lower(F.concat_ws(" ", near(w, s["i"] - 2), near(w, s["i"] - 1)))
-            return F.transform(runs, lambda c: F.struct(
-                s["i"].alias("word"), F.regexp_replace(c, r"[.=]+$", "").alias("candidate"),
-                F.concat(before, F.lit(" "), F.lower(F.call_function("substring_index", s["x"], c, F.lit(1)))).alias("before"), near(w, s["i"] + 1).alias("after"), F.coalesce(path, F.lit("")).alias("path"),
+            x, before = s["x"], F.concat_ws(" ", near(w, s["i"] - 2), near(w, s["i"] - 1))
+            long = F.transform(F.regexp_extract_all(x, F.lit(f"({RUN})"), F.lit(1)), lambda c: F.regexp_replace(c, r"[.=]+$", ""))
+            runs = F.filter(long, lambda c: F.length(c) >= LEAST)
+            first = F.when(before.rlike(NAMED + " ?" + ASSIGN + r" ?[\"'`]?$"), F.regexp_extract(x, rf"^[\"'`]*({VALUE})", 1)).when(before.rlike(NAMED + "$"), F.regexp_extract(x, rf"^{ASSIGN}[\"'`]*({VALUE})", 1)).otherwise(F.lit(""))
+            values = F.transform(F.concat(F.array(first), F.regexp_extract_all(x, F.lit(rf"{NAMED}{ASSIGN}[\"'`]*({VALUE})"), F.lit(1))), lambda c: F.regexp_replace(c, "[.]+$", ""))
+            other = F.filter(F.array_distinct(values), lambda c: (c != "") & ~F.exists(runs, lambda r: r == F.regexp_replace(c, r"[.=]+$", "")))
+            return F.transform(F.concat(other, runs), lambda c: F.struct(
+                s["i"].alias("word"), c.alias("candidate"),
+                F.concat(F.lower(before), F.lit(" "), F.lower(F.call_function("substring_index", x, c, F.lit(1)))).alias("before"), near(w, s["i"] + 1).alias("after"), F.coalesce(path, F.lit("")).alias("path"),
             ))
 
         return F.flatten(F.transform(held, of_word))
 
     found = F.transform(F.array(words), at)[0]
     empty = F.expr("CAST(array() AS array<struct<word: int, candidate: string, before: string, after: string, path: string>>)")
-    return F.when(text.rlike("[0-9]") & text.rlike(RUN), F.filter(found, lambda c: F.length(c["candidate"]) >= 16)).otherwise(empty)
+    return F.when(text.rlike(RUN) | text.rlike(rf"{NAMED}[\x20\x09-\x0D]*{ASSIGN}"), found).otherwise(empty)
+
+
+def _masked(text: Column, c: Column) -> Column:
+    """text without the secret c: a short one goes only where it is assigned to a secret's name."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9_])"))
+    place = F.concat(F.lit(rf"({NAMED}[\x20\x09-\x0D]*{ASSIGN}[\x20\x09-\x0D]*[\"'`]*)"), quoted)
+    return F.when(F.length(c) >= LEAST, F.replace(text, c, F.lit(MASK))).otherwise(F.regexp_replace(text, place, F.lit("$1" + MASK)))
 
 
 def scan(docs: DataFrame, forest: list, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
@@ -163,7 +206,9 @@ def redact(docs: DataFrame, forest: list, path: str = "source", threshold: float
     """docs with every secret in text replaced by MASK; texts stay in their rows, so nothing is shuffled."""
     score = lambda c: probability(forest, features(c["candidate"], c["before"], c["path"]))
     secrets = F.transform(F.filter(candidates(F.col("text"), F.col(path).cast("string")), lambda c: score(c) >= threshold), lambda c: c["candidate"])
-    hidden = F.aggregate(secrets, F.col("text"), lambda t, c: F.replace(t, c, F.lit(MASK)))
+    # Longer ones first: a secret may hold another.
+    ordered = F.array_sort(F.array_distinct(secrets), lambda a, b: F.length(b) - F.length(a))
+    hidden = F.aggregate(ordered, F.col("text"), _masked)
     return docs.withColumn("text", hidden)
 
 

@@ -159,6 +159,35 @@ def test_secrets(spark, docs):
     assert op.scan(many, forest).count() == 20
 
 
+def test_secret_recall_in_texts(spark):
+    """Whole texts: keys without a digit, short passwords, and unquoted name=value; prose and short words stay."""
+    import random
+
+    from cairn.llm import op4_secret_scans as op
+
+    r, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda a, k: "".join(r.choice(a) for _ in range(k))
+    secrets, texts = [], []
+    for i in range(40):
+        for c, text in (
+            (draw(letters[26:], 16), "the key AKIA{} was used"), (draw(letters, 20), "see token = glpat-{} here"), (draw(letters, 24), "set api_key=sk_live_{} now"), (draw(letters, 24), "api_key={} and more"),
+            (draw(letters + "0123456789", 10), "login with password: {} please"), (draw(letters + "0123456789!#", 12), 'password = "{}" there'), ("hunter" + draw("0123456789", 3), "db_password={} end"),
+        ):
+            secrets.append(c)
+            texts.append((len(texts), text.format(c), "notes"))
+    clean = ["thanonontioniner hainghethesthing ONANLYSHBLEONND. erestionereaatwh.", "token = true", "key: value", "see content/archive/document/index.html there", "internationalization of password: null"]
+    d = spark.createDataFrame(texts + [(1000 + i, x, "notes") for i, x in enumerate(clean)], "doc_id long, text string, source string")
+    forest = op.train_forest(spark)
+    got = {x.doc_id: x.text for x in op.redact(d, forest).collect()}
+    gone = [c not in got[i] for i, c in enumerate(secrets)]
+    assert all(sum(gone[k::7]) >= 36 for k in range(7)), [sum(gone[k::7]) for k in range(7)]
+    assert [got[1000 + i] for i in range(len(clean))] == clean
+    found = op.scan(spark.createDataFrame([(1, "x password=abc7Xq9 abc7Xq9", "s")], "doc_id long, text string, source string"), forest).collect()
+    assert [x.candidate for x in found] == ["abc7Xq9"]
+    once = op.redact(spark.createDataFrame([(1, "x password=Zq7abc9K, xZq7abc9K", "s")], "doc_id long, text string, source string"), forest).head().text
+    assert once == "x password=[SECRET], xZq7abc9K"
+
+
 # op 5
 
 
