@@ -529,7 +529,7 @@ def extraction(spark, d):
 @query()
 def entity_match(spark, d):
     e, a, m = en.add_mentions(mention_rows(spark, d))
-    incoming = table(spark, d, "part").filter("p_partkey <= 400").select(F.concat(F.lit("Part "), F.when(F.col("p_partkey") % 2 == 0, F.lit("")).otherwise("x"), F.col("p_partkey").cast("string")).alias("name"), F.array(F.concat(F.lit("p-"), F.col("p_partkey").cast("string"))).alias("aliases"))
+    incoming = table(spark, d, "part").select(F.concat(F.lit("Part "), F.when(F.col("p_partkey") % 2 == 0, F.lit("")).otherwise("x"), F.col("p_partkey").cast("string")).alias("name"), F.array(F.concat(F.lit("p-"), F.col("p_partkey").cast("string"))).alias("aliases"))
     return en.match(incoming, e, a, m)
 
 

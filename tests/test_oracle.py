@@ -27,6 +27,12 @@ def test_fuzzy_matches(spark):
     assert all(how in ("exact", "alias", "fuzzy", "new") for _, how in found.values())
 
 
+def test_every_part_is_matched(spark):
+    for folder in (SMALL, SMALL.replace("0.001", "0.01")):
+        parts = spark.read.parquet(f"{folder}/part.parquet").count()
+        assert QUERIES["entity_match"](spark, folder).count() == parts
+
+
 def test_entry_imports_and_registers(spark):
     import __spark_entry__ as e
 
