@@ -31,10 +31,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style noscript template iframe object svg math head title textarea datalist audio video canvas map".split())
 #: Open elements that a start tag closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What may stand in a head; any other start tag, and text, ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 STOPS = frozenset("ul ol dl table body div section article".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|svg|math|textarea|title)\b(?:[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?<=/)>|<(script|style|noscript|template|iframe|object|svg|math|textarea|title)\b(?:[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)|[^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -62,9 +64,18 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         links = sum(tag == "a" for tag, _ in stack)
         hidden = sum(tag in HIDDEN for tag, _ in stack)
 
+    def leave_head():
+        k = _last(stack, "head")
+        if k is not None and not any(tag in HIDDEN for tag, _ in stack[k + 1 :]):
+            close()
+            del stack[k:]
+            settle()
+
     for m in TOKEN.finditer(page):
-        if m.start() > at and not hidden:
-            text = page[at : m.start()]
+        text = page[at : m.start()]
+        if hidden and stack[-1][0] == "head" and text.strip() or m[1] and m[1].lower() not in HEAD:
+            leave_head()
+        if text and not hidden:
             held.append(text)
             if links:
                 linked += len(text)
@@ -82,6 +93,8 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 del stack[_last(stack, tag) :]
                 settle()
             continue
+        if tag not in HEAD:
+            leave_head()
         if tag in ("br", "wbr"):
             held.append(" " if tag == "br" else "")
             continue
@@ -106,6 +119,8 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 words += ["." + w.lower() for w in WORD.findall(n[1] or n[2] or n[3] or "")]
         stack.append((tag, tuple(words)))
         settle()
+    if hidden and stack[-1][0] == "head" and page[at:].strip():
+        leave_head()
     if not hidden:
         held.append(page[at:])
     close()

@@ -87,6 +87,21 @@ def test_extraction(spark):
     assert [r.text for r in got[2:]] == ["", ""] and op.extract(d.limit(0), field).count() == 0
 
 
+def test_pages_without_optional_tags():
+    from cairn.llm.op2_html_extraction import leaf_blocks
+
+    texts = lambda page: [t for _, t, _ in leaf_blocks(page)]
+    assert texts("<html><head><title>T</title><meta charset=utf-8><body><p>One<p>Two") == ["One", "Two"]
+    assert texts("<head><style>p{}</style><link rel=x href=y><p>One</p>") == ["One"]
+    assert texts("<head><title>T</title></head><body><p>One</p>") == ["One"]
+    assert texts("<head><title>T</title>One<p>Two") == ["One", "Two"] and texts("<head><title>T</title>\n One") == ["One"]
+    assert texts("<head><title>T</title><svg><text>no</text></svg> One") == ["One"]
+    for tag in ("svg", "math"):
+        assert texts(f"<p>One <{tag}/> more</p><p>Two</p>") == ["One more", "Two"]
+        assert texts(f'<p>One <{tag} viewBox="0 0 > 9" class=\'a\' /> more</p><{tag}><text>no</text></{tag}><p>Two</p>') == ["One more", "Two"]
+        assert texts(f"<p>One</p><{tag} a=b><g/><path d='M0'/>no</{tag}><p>Two</p>") == ["One", "Two"]
+
+
 # op 3
 
 
