@@ -19,6 +19,8 @@ from cairn.llm.op9_packing import pack_documents
 WORDS, PERCENT = 5, 80
 #: A small source is repeated at most so often while every document is used.
 REPEATS = 2.0
+#: The number of a row, where doc_id doesn't tell rows apart.
+ROW = "__row"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +29,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the least doc_id stays; of repeated rows, one."""
-    groups = cut(jaccard_components(docs, WORDS, PERCENT, rare_first=True))
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Of each group of linked documents, the one with the least doc_id stays; of repeated rows, one.
+
+    Where some doc_id is null or repeated, rows are linked by numbers of their
+    own, so each is judged by its own text: rows of one doc_id with unlike texts
+    stay both, and a row without doc_id goes if it is linked to another that stays.
+    """
+    unclear = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count()
+    if not unclear:
+        groups = cut(jaccard_components(docs, WORDS, PERCENT, rare_first=True))
+        return _without(docs, groups.filter("doc_id <> component_id").select("doc_id"))
+    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    groups = jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text"), WORDS, PERCENT, rare_first=True)
+    groups = cut(rows.select(ROW, "doc_id").join(groups.withColumnRenamed("doc_id", ROW), ROW))
+    # Texts without words are linked with nothing; they repeat if they have the same doc_id.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW))[ROW].alias(ROW)
+    linked = groups.filter("n_shingles > 0").groupBy("component_id").agg(first).select(ROW)
+    blank = groups.filter("n_shingles = 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(ROW).alias(ROW)).select(ROW)
+    stay = linked.union(blank).union(groups.filter("n_shingles = 0 AND doc_id IS NULL").select(ROW))
+    return _without(rows, cut(groups.select(ROW).join(stay, ROW, "left_anti"))).select(*docs.columns)
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose key, the one column of gone, is in it."""
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, gone.columns[0], "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

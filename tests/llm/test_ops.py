@@ -500,3 +500,24 @@ def test_pipeline(spark, tmp_path):
     for _, stage in cp.STAGES:
         empty = cut(stage(spark, empty, str(tmp_path)))
     assert empty.count() == 0
+
+
+def test_near_duplicates_by_row(spark):
+    """Null, repeated and clashing doc_ids: the edge rows as they are, and rows that only their texts tell apart."""
+    import corpus_pipeline as cp
+
+    words = lambda a, n=30: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(r[0], r[1]) for r in edge.rows()] + [
+        (None, words("p")), (None, words("q")), (None, words("r")), (900, words("s")), (900, words("t")), (901, words("s")), (3, words("u")), (902, words("t") + " more"),
+        (800, words("v")), (800, words("x")), (None, words("v")), (903, words("y")), (903, words("y")), (904, None), (904, ""), (None, None),
+    ]
+    keep, groups = set(), brute_components([(i, t) for i, (_, t) in enumerate(rows)], cp.WORDS, cp.PERCENT)
+    for c in {c for _, c in groups.values()}:
+        keep.add(min((i for i, (_, g) in groups.items() if g == c), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)))
+    blank = {}
+    for i in sorted(keep):
+        if not (rows[i][1] or "").strip() and rows[i][0] is not None and blank.setdefault(rows[i][0], i) != i:
+            keep.remove(i)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, (r.text or "")[:40]) for r in cp.near_duplicates(spark, docs, "").collect()]
+    assert sorted(map(str, got)) == sorted(str((rows[i][0], (rows[i][1] or "")[:40])) for i in keep)
