@@ -13,7 +13,7 @@ stays a table of segments, and each block of texts joins its n-grams with the
 segments and gets their levels back, so both ways give the same scores.  Exact
 word counts are broadcast for at most
 TOP_WORDS words; all rarer ones are joined, so the base score is exact at any
-size.  Words are told apart by 64-bit hashes.
+size; the score takes all counts from the filter.  Words are told apart by 64-bit hashes.
 
 Edge cases: a null or empty text has the end token only; repeated rows count
 as often as they occur; without training documents N and V are 0 and scores
@@ -340,29 +340,43 @@ def score_documents(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, top
     n_training = int(training.count())
     frame = LogFilter.sized(n_tokens)
     built, whole = filter_segments(training, frame), frame.size * frame.segments <= max_filter_bits
-    model = spark.sparkContext.broadcast((top_word[order], top.column("n").to_numpy()[order], collect_filter(built, frame) if whole else None))
+    top_word, top_n = top_word[order], top.column("n").to_numpy()[order]
+    top_keys, back = np.unique(single_key(top_word), return_inverse=True)
+    # Frequent words are asked of the filter once, not by each block of texts.
+    if whole:
+        bloom = collect_filter(built, frame)
+        top_level = bloom.levels(top_keys)
+    else:
+        bloom, built = None, cut(built)
+        segment, rest = frame.split(top_keys)
+        cuts = np.concatenate((np.flatnonzero(np.diff(segment, prepend=-1)), [len(segment)]))
+        asked = [(0, 0, int(segment[i]), _pack(rest[i:j])) for i, j in zip(cuts[:-1], cuts[1:])]
+        got = joined_levels(spark.createDataFrame(asked, "block long, mark long, segment int, keys binary"), built, frame).collect()  # a byte for each of top_words at most
+        top_level = np.frombuffer(b"".join(bytes(r.levels) for r in sorted(got, key=lambda r: r.segment)), np.uint8).astype(np.int64)
+    model = spark.sparkContext.broadcast((top_word, top_n, top_level[back], bloom))
     floor = np.log10(n_tokens + 0.5 * (n_words + 1))
 
     def lookup(tokens):
-        """Exact counts of frequent words, and which those are."""
-        top_word, top_n, _ = model.value
+        """Exact counts and levels of frequent words, and which those are."""
+        top_word, top_n, top_level, _ = model.value
         at = np.minimum(np.searchsorted(top_word, tokens), max(len(top_word) - 1, 0))
         found = top_word[at] == tokens if len(top_word) else np.zeros(len(tokens), bool)
-        return np.where(found, top_n[at] if len(top_word) else 0, 0), found
+        return *(np.where(found, x[at] if len(top_word) else 0, 0) for x in (top_n, top_level)), found
 
     def probes(tokens, before):
         unique = np.unique(tokens)
-        return np.unique(np.concatenate((single_key(unique[~lookup(unique)[1]]), pair_key(before, tokens))))
+        return np.unique(np.concatenate((single_key(unique[~lookup(unique)[2]]), pair_key(before, tokens))))
 
     def score_part(doc_id, held_out, stream, keys, levels):
         """Scores of a part's texts from the levels of its probes."""
         tokens, before, offsets = stream
         n, text = len(doc_id), np.repeat(np.arange(len(doc_id)), np.diff(offsets))
         unique, inverse = np.unique(tokens, return_inverse=True)
-        count, found = lookup(unique)
+        count, level, found = lookup(unique)
         count = count.astype(np.float64)
-        estimate = count.copy()
-        estimate[~found] = count_of(levels[np.searchsorted(keys, single_key(unique[~found]))])
+        # Words' counts in score come from the filter at any size of the vocabulary; the exact ones are for the base score.
+        level[~found] = levels[np.searchsorted(keys, single_key(unique[~found]))]
+        estimate = count_of(level)
         log_base = np.where(found, np.log10(count + 0.5), 0.0)
         frequent = found[inverse]
         base = np.bincount(text, log_base[inverse], n)
@@ -391,7 +405,7 @@ def score_documents(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, top
             for first, part in text_parts(batch.column(2)):
                 stream = token_stream(hasher, part)
                 keys = probes(*stream[:2])
-                yield pa.RecordBatch.from_arrays(score_part(batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), stream, keys, model.value[2].levels(keys)), names=names)
+                yield pa.RecordBatch.from_arrays(score_part(batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), stream, keys, model.value[3].levels(keys)), names=names)
 
     hashers = []
 
@@ -409,7 +423,7 @@ def score_documents(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, top
     if whole:
         rows = docs.mapInArrow(score, SCORED)
     else:
-        levels = joined_levels(asked_segments(docs, frame, probes), cut(built), frame)
+        levels = joined_levels(asked_segments(docs, frame, probes), built, frame)
         rows = text_blocks(docs).groupBy("block", "mark").cogroup(levels.groupBy("block", "mark")).applyInArrow(score_block, SCORED)
     scored = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode("rare").alias("word"))

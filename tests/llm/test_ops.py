@@ -464,6 +464,13 @@ def test_lm_filter_as_table(spark, docs):
     assert score_documents(edge.empty(spark), max_filter_bits=0).count() == 0
 
 
+def test_lm_score_does_not_depend_on_top_words(spark, docs):
+    from cairn.llm.op10_lm_scoring import score_documents
+
+    one, two = (sorted((str(r.doc_id), r.n_tokens, round(r.score, 9)) for r in score_documents(docs, top_words=top).collect()) for top in (1 << 20, 8))
+    assert one == two
+
+
 def test_log_filter_grows():
     from cairn.llm import op10_lm_scoring as op
 
