@@ -4,6 +4,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from cairn.functions.text import BLANKS
+
 _TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
 FIELDS = T.StructType([T.StructField(n, t) for n, t in (("title", _TEXT), ("created", _TEXT), ("modified", _TEXT), ("tags", _TEXTS), ("aliases", _TEXTS), ("cssclasses", _TEXTS), ("raw", _TEXT))])
 
@@ -18,7 +20,7 @@ def block(content: Column) -> Column:
 
 
 def body(content: Column) -> Column:
-    trimmed = F.regexp_replace(F.get(F.split(content, "---", 3), F.lit(2)), r"(?U)\A\s+|\s+\z", "")
+    trimmed = F.btrim(F.get(F.split(content, "---", 3), F.lit(2)), F.lit(BLANKS))
     return F.when(has_block(content), trimmed).otherwise(content)
 
 
@@ -91,53 +93,51 @@ def set_tags(content: Column, tags: list[str]) -> Column:
     return _retagged(content, lambda own: F.array(*map(F.lit, tags)).cast("array<string>"))
 
 
-@F.pandas_udf(_TEXTS)
-def _warnings(contents: pd.Series) -> pd.Series:
+KINDS = T.StructType([T.StructField(n, _TEXT) for n in ("root", "tags", "aliases")])
+#: What is said about a field whose value is of a kind; other pairs of field and kind are fine.
+KIND_WARNINGS = {
+    ("root", "invalid"): "invalid YAML", ("root", "other"): "frontmatter is not a mapping",
+    ("tags", "null"): "tags is null, not a list", ("tags", "string"): "tags is a string, not a list", ("tags", "number"): "tags is a number, not a list",
+    ("tags", "other"): "tags is not a list", ("tags", "mixed list"): "tags has items that are not strings",
+    **{("aliases", kind): "aliases is not a list" for kind in ("null", "string", "number", "other")}, ("aliases", "mixed list"): "aliases has items that are not strings",
+}
+
+
+@F.pandas_udf(KINDS)
+def _kinds(texts: pd.Series) -> pd.DataFrame:
+    """Kinds of a block's YAML and of two of its fields; '' for a field that isn't there."""
     import yaml
 
-    def check(content: str | None) -> list[str]:
-        if not content or not content.startswith("---"):
-            return []
-        parts = content.split("---", 2)
-        if len(parts) < 3:
-            return ["frontmatter is not closed"]
-        if not parts[1].strip():
-            return ["frontmatter is empty"]
-        found, keys = [], set()
-        for line in map(str.strip, parts[1].splitlines()):
-            key, colon, _ = line.partition(":")
-            if colon and not line.startswith("#"):
-                if key.strip() in keys:
-                    found.append(f"duplicate key: {key.strip()}")
-                keys.add(key.strip())
+    def kind(value) -> str:
+        if isinstance(value, list):
+            return "list" if all(isinstance(x, str) for x in value) else "mixed list"
+        return next((name for types, name in ((type(None), "null"), (str, "string"), ((int, float), "number")) if isinstance(value, types)), "other")
+
+    def kinds(text: str | None) -> tuple[str, str, str]:
         try:
-            meta = yaml.safe_load(parts[1])
+            found = yaml.safe_load(text or "")
         except yaml.YAMLError:
-            return [*found, "invalid YAML"]
-        if not isinstance(meta, dict):
-            return [*found, "frontmatter is not a mapping"]
-        if "tags" in meta:
-            tags = meta["tags"]
-            kind = "null" if tags is None else "a string" if isinstance(tags, str) else "a number" if isinstance(tags, (int, float)) else None
-            if kind:
-                found.append(f"tags is {kind}, not a list")
-            elif not isinstance(tags, list):
-                found.append("tags is not a list")
-            elif any(not isinstance(t, str) for t in tags):
-                found.append("tags has items that are not strings")
-        if "aliases" in meta:
-            if not isinstance(meta["aliases"], list):
-                found.append("aliases is not a list")
-            elif any(not isinstance(a, str) for a in meta["aliases"]):
-                found.append("aliases has items that are not strings")
-        return found
-
-    return contents.map(check)
+            return "invalid", "", ""
+        own = found if isinstance(found, dict) else {}
+        return "mapping" if isinstance(found, dict) else "other", *(kind(own[k]) if k in own else "" for k in ("tags", "aliases"))
+
+    return pd.DataFrame(map(kinds, texts), columns=["root", "tags", "aliases"])
 
 
 def validate(content: Column) -> Column:
-    """Warnings about the frontmatter; none if all is well."""
-    return _warnings(content)
+    """Warnings about the frontmatter; none if all is well.
+
+    Repeated keys are found by their lines, as YAML itself keeps the last one only.
+    """
+    text, none = block(content), F.array().cast(_TEXTS)
+    lines = F.transform(F.split(text, r"\R"), lambda x: F.btrim(x, F.lit(BLANKS)))
+    keys = F.transform(F.filter(lines, lambda x: x.contains(":") & ~x.startswith("#")), lambda x: F.btrim(F.substring_index(x, ":", 1), F.lit(BLANKS)))
+    repeated = F.transform(F.array(keys), lambda held: F.filter(held, lambda k, i: F.array_position(held, k) <= i))[0]
+    said, kinds = F.create_map(*(F.lit(x) for (field, kind), text_ in KIND_WARNINGS.items() for x in (f"{field} {kind}", text_))), _kinds(text)
+    of_kinds = F.array_compact(F.array(*(F.try_element_at(said, F.concat(F.lit(f"{field} "), kinds[field])) for field in ("root", "tags", "aliases"))))
+    found = F.concat(F.transform(repeated, lambda k: F.concat(F.lit("duplicate key: "), k)), of_kinds)
+    empty = F.btrim(text, F.lit(BLANKS)) == ""
+    return F.when(~F.coalesce(content.startswith("---"), F.lit(False)), none).when(text.isNull(), F.array(F.lit("frontmatter is not closed"))).when(empty, F.array(F.lit("frontmatter is empty"))).otherwise(found)
 
 
 def packed(values: Column) -> Column:

@@ -1,6 +1,7 @@
 """The graph of notes and links: edges (src, dst) and nodes (path)."""
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -114,50 +115,55 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("path").distinct().join(linked, "path", "left_anti").orderBy("path")
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "path") -> DataFrame:
-    """(path, component): the least node that links reach.
+def linked_components(edges: DataFrame) -> DataFrame:
+    """(path, component) of all nodes with an edge to another: the least node that links reach.
 
     Each round moves every linked node to its least neighbour, follows that
     move once more, and contracts the links; what is left of them shrinks by
     half at least, and minima are aggregated before they are shuffled.
     """
-    every = nodes.select(F.col(node).alias("path")).distinct()
     ends = edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    left, labels = cut(ends.distinct()), None
+    left = cut(ends.distinct())
+    labels = left.select(F.col("src").alias("path"), F.col("src").alias("component")).limit(0)
+    first = True
     while not left.isEmpty():
         both = left.select("src", "dst").union(left.select("dst", "src"))
         low = cut(both.groupBy(F.col("src").alias("path")).agg(F.least(F.min("dst"), F.col("src")).alias("component")))
         jump = low.select(F.col("path").alias("component"), F.col("component").alias("further"))
         moved = cut(low.join(jump, "component").select("path", F.col("further").alias("component")))
         to = moved.select(F.col("path").alias("component"), F.col("component").alias("to"))
-        labels = moved if labels is None else cut(labels.join(to, "component", "left").select("path", F.coalesce("to", "component").alias("component")))
+        labels = moved if first else cut(labels.join(to, "component", "left").select("path", F.coalesce("to", "component").alias("component")))
         one, two = (moved.select(F.col("path").alias(end), F.col("component").alias(f"{end}_label")) for end in ("src", "dst"))
         rest = left.join(one, "src").join(two, "dst").filter("src_label <> dst_label")
         left = cut(rest.select(F.least("src_label", "dst_label").alias("src"), F.greatest("src_label", "dst_label").alias("dst")).distinct())
-    if labels is None:
-        return every.withColumn("component", F.col("path"))
-    return every.join(labels, "path", "left").select("path", F.coalesce("component", "path").alias("component"))
+        first = False
+    return labels
+
+
+def components(nodes: DataFrame, edges: DataFrame, node: str = "path") -> DataFrame:
+    """(path, component): the least node that links reach; a node without links is its own."""
+    every = nodes.select(F.col(node).alias("path")).distinct()
+    return every.join(linked_components(edges), "path", "left").select("path", F.coalesce("component", "path").alias("component"))
 
 
 def _sweep(group: pd.DataFrame, rounds: int) -> pd.DataFrame:
-    """In-place label propagation within one component; rows: path, rank, near (array of ranks)."""
+    """In-place label propagation within one component; rows: path, rank, near (array of ranks).
+
+    Nodes are numbered by rank; all neighbours stand in one flat array, each node's between two offsets.
+    """
     group = group.sort_values("rank")
-    label = {r: r for r in group["rank"]}
-    near = {r: list(x) for r, x in zip(group["rank"], group["near"])}
+    ranks = group["rank"].to_numpy()
+    offsets = np.concatenate(([0], np.cumsum(group["near"].map(len))))
+    near = np.searchsorted(ranks, np.concatenate([np.asarray(x, np.int64) for x in group["near"]]))
+    label, linked = np.arange(len(ranks)), np.flatnonzero(np.diff(offsets))
     for _ in range(rounds):
-        changed = False
-        for r in group["rank"]:
-            count: dict[int, int] = {}
-            for x in near[r]:
-                count[label[x]] = count.get(label[x], 0) + 1
-            if count:
-                most = max(count.values())
-                best = min(k for k, v in count.items() if v == most)
-                if best != label[r]:
-                    label[r], changed = best, True
-        if not changed:
+        before = label.copy()
+        for i in linked:
+            votes, held = np.unique(label[near[offsets[i] : offsets[i + 1]]], return_counts=True)
+            label[i] = votes[held.argmax()]  # votes are sorted: of several the least
+        if np.array_equal(label, before):
             break
-    return pd.DataFrame({"path": group["path"], "label": [label[r] for r in group["rank"]]})
+    return pd.DataFrame({"path": group["path"], "label": ranks[label]})
 
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -209,7 +215,9 @@ def community_neighbors(labels: DataFrame, seeds: DataFrame) -> DataFrame:
 def community_info(labels: DataFrame, path: str, top_k: int = 5) -> DataFrame:
     """Number, size and first members of the community of a note."""
     own = labels.filter(F.col("path") == path).select("community")
-    return labels.join(F.broadcast(own), "community").groupBy("community").agg(F.count("*").alias("size"), F.slice(F.array_sort(F.collect_list("path")), 1, top_k).alias("members"))
+    rows = labels.join(F.broadcast(own), "community")  # one row
+    first = rows.orderBy("path").limit(top_k).agg(F.array_sort(F.collect_list("path")).alias("members"))
+    return rows.groupBy("community").agg(F.count("*").alias("size")).crossJoin(F.broadcast(first))
 
 
 def community_list(labels: DataFrame, members: int = 50) -> DataFrame:

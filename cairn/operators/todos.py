@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: The file format's lines.
 LINE = r"^\s*-\s+\[([ x])\]\s+(.+?)(?:\s+\((.+?)\))?\s*$"
 HEADER = r"^##\s+(.+)$"
 
@@ -100,6 +101,7 @@ def render_file(todos: DataFrame, today: str) -> DataFrame:
 
 
 def default_file(today: str) -> str:
+    """Fixed value: the file format's empty file."""
     return f"---\nlast_synced: {today}\ntotal: 0\ncompleted: 0\npending: 0\n---\n\n# Todos\n\n## General\n\n"
 
 
