@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 SPACE = r"(?U)\s+"
+#: The characters with Unicode's property White_Space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SNIPPET = 300
 BUDGET_WORDS = 3000
 WIKI_LINK = r"(?<!!)\[\[([^\[\]\n]+)\]\]"
@@ -27,7 +29,7 @@ def sanitize(text: Column) -> Column:
     text = F.regexp_replace(text, r"(?U)https?://\S+", "")
     text = F.regexp_replace(text, r"(?U)\(\s*\)", "")
     text = F.regexp_replace(text, r"(?U)[^\S\r\n]+", " ")
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def truncate_snippet(text: Column, limit: int = SNIPPET) -> Column:
@@ -40,7 +42,7 @@ def truncate_to_budget(text: Column, budget: int = BUDGET_WORDS) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits, of two characters at least."""
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]{2,})"), F.lit(1))
 
 
 def title_of_path(path: Column) -> Column:

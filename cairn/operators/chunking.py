@@ -10,9 +10,12 @@ SIZE, OVERLAP, LEAST_WORDS = 500, 100, 20
 
 def chunk_windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Array of chunks: windows of ``size`` words that begin each ``size - overlap`` words; none without words."""
-    w = tx.words(text)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.array(w), lambda held: F.transform(starts, lambda i: F.array_join(F.slice(held, i + 1, size), " ")))[0]
+    return F.transform(F.array(tx.words(text)), lambda held: _windows(held, size, overlap))[0]
+
+
+def _windows(words: Column, size: int, overlap: int) -> Column:
+    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " "))
 
 
 def heading_sections(text: Column) -> Column:
@@ -39,13 +42,14 @@ def heading_sections(text: Column) -> Column:
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(tx.BLANKS))
 
 
 def chunk_sections(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Array of (heading, document): short sections as they are, long ones in windows; each below its heading path."""
     def pieces(s: Column) -> Column:
-        cut = F.when(tx.word_count(s["body"]) <= size, F.array(s["body"])).otherwise(chunk_windows(s["body"], size, overlap))
+        # The words are split once for each section: an array of one is bound by transform.
+        cut = F.transform(F.array(tx.words(s["body"])), lambda w: F.when(F.size(w) <= size, F.array(s["body"])).otherwise(_windows(w, size, overlap)))[0]
         return F.transform(cut, lambda b: F.struct(s["heading"].alias("heading"), F.when(s["heading"] == "", b).otherwise(F.concat(s["heading"], F.lit("\n\n"), b)).alias("document")))
 
     return F.flatten(F.transform(F.filter(heading_sections(text), lambda s: s["body"] != ""), pieces))

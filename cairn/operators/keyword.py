@@ -8,40 +8,55 @@ from cairn.functions.text import tokenize
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
-def index(docs: DataFrame, id_col: str = "id", text: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(postings: id, term, tf, length; documents: id, length) of documents that aren't null."""
+def index(docs: DataFrame, id_col: str = "id", text: Column | None = None) -> DataFrame:
+    """(id, tokens, length) of documents that aren't null."""
     text = F.col("document") if text is None else text
     tokens = docs.filter(text.isNotNull()).select(F.col(id_col).alias("id"), tokenize(text).alias("tokens"))
-    lengths = tokens.select("id", F.size("tokens").alias("length"))
-    postings = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
-    return postings, lengths
+    return tokens.withColumn("length", F.size("tokens"))
 
 
-def term_weights(postings: DataFrame, lengths: DataFrame) -> DataFrame:
-    """idf of every term; a negative one becomes FLOOR times the mean over the vocabulary."""
-    n = lengths.agg(F.count("*").alias("n"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
+def term_weights(indexed: DataFrame) -> DataFrame:
+    """idf of every term; a negative one becomes FLOOR times the mean over the vocabulary.
+
+    A task counts the documents of its terms before anything is shuffled.
+    """
+    n = indexed.agg(F.count("*").alias("n"))
+    terms = indexed.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
     raw = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def scores(postings: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
-    """(id, score) of all documents; a repeated query term counts each time, a document without any scores 0."""
-    spark = postings.sparkSession
+def scores(indexed: DataFrame, query: str) -> DataFrame:
+    """(id, score) of all documents; a repeated query term counts each time, a document without any scores 0.
+
+    The query's terms become one expression over a document's own tokens, so
+    no posting leaves its row.
+    """
+    spark = indexed.sparkSession
     terms = spark.range(1).select(F.explode(tokenize(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-    asked = terms.join(term_weights(postings, lengths), "term")
-    mean = lengths.agg(F.avg("length").alias("mean_length"))
-    tf, length = F.col("tf"), F.col("length")
-    hit = postings.join(F.broadcast(asked), "term").crossJoin(F.broadcast(mean))  # a query's terms; one row
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("mean_length")))
-    summed = hit.groupBy("id").agg(F.sum(part).alias("score"))
-    return lengths.select("id").join(summed, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    mean = indexed.agg(F.avg("length").alias("mean_length"))
+    asked = term_weights(indexed).join(F.broadcast(terms), "term").crossJoin(F.broadcast(mean)).orderBy("term").collect()  # the query's terms
+    if not asked:
+        return indexed.select("id", F.lit(0.0).alias("score"))
+    held = F.filter("tokens", lambda t: t.isin([r.term for r in asked]))
+    bounded = indexed.select("id", held.alias("held"), (K1 * (1 - B + B * F.col("length") / asked[0].mean_length)).alias("norm"))
+    score = F.lit(0.0)
+    for r in asked:
+        tf = F.size(F.filter("held", _equals(r.term)))
+        score = score + r.times * r.idf * tf * (K1 + 1) / (tf + F.col("norm"))
+    # With tokens, the norm is positive; without any, no term is held.
+    return bounded.select("id", F.when(F.size("held") > 0, score).otherwise(0.0).alias("score"))
+
+
+def _equals(term: str):
+    return lambda t: t == term
 
 
 def search(docs: DataFrame, query: str, n: int = 20, id_col: str = "id", text: Column | None = None) -> DataFrame:
     """The n best documents, ties by id; documents with score 0 fill up."""
-    return scores(*index(docs, id_col, text), query).orderBy(F.desc("score"), "id").limit(n)
+    return scores(index(docs, id_col, text), query).orderBy(F.desc("score"), "id").limit(n)
 
 
 def normalise(found: DataFrame, column: str = "score") -> DataFrame:
