@@ -1,6 +1,7 @@
 """Cutting lineage by tables in the folder that driver and executors share."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; one is made only where none is set, as in tests."""
+    """spark.checkpoint.dir; one is made only where none is set and all run on this machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -1,9 +1,9 @@
 """File events as streams: (path, action, ts, sequence)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
 
-from cairn.operators.vector import upsert
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 EVENTS = "path STRING, action STRING, ts TIMESTAMP, sequence BIGINT"
 GAP = "2 seconds"
@@ -34,20 +34,24 @@ def debounce(events: DataFrame, gap: str = GAP, lateness: str = "10 seconds") ->
 
 
 def apply_batch(table: str, key: str = "path"):
-    """A foreachBatch function that keeps a table of the latest row of each key; a deleted key goes.
+    """A foreachBatch function that keeps ``table``, a view, of the latest row of each key; a deleted key goes.
 
-    The new state is written beside the old one and swapped in, so a batch
-    that fails half-way is simply run again.
+    Each batch writes a version of its own from the one before it and then turns
+    the view to it.  The version before stays until the next batch, so a batch
+    that failed anywhere, or that is given again, has the same outcome.
     """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        gone = batch.filter("action = 'delete'").select(key)
-        kept = batch.filter("action <> 'delete'")
-        if spark.catalog.tableExists(table):
-            old = spark.table(table).join(gone, key, "left_anti")
-            kept = upsert(old, kept, key)
-        kept.write.mode("overwrite").saveAsTable(f"{table}_next")
-        spark.table(f"{table}_next").write.mode("overwrite").saveAsTable(table)
-        spark.sql(f"DROP TABLE {table}_next")
+        order = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("sequence"))
+        latest = batch.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
+        rows = latest.filter("action <> 'delete'")
+        versions = (re.fullmatch(rf"{re.escape(table)}_v(\d+)", t.name, re.I) for t in spark.catalog.listTables())
+        before = sorted(v for v in (int(m[1]) for m in versions if m) if v < number)
+        if before:
+            rows = spark.table(f"{table}_v{before[-1]}").join(latest.select(key), key, "left_anti").unionByName(rows)
+        rows.write.mode("overwrite").saveAsTable(f"{table}_v{number}")
+        spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {table}_v{number}")
+        for v in before[:-1]:
+            spark.sql(f"DROP TABLE IF EXISTS {table}_v{v}")
 
     return write
