@@ -104,7 +104,7 @@ def bm25_normalised(spark, d):
 
 @query(f"WITH d AS (SELECT doc_id AS id, text FROM documents), {bm25_sql('d', 'text')} SELECT term, round(idf, 6) AS idf FROM idf")
 def bm25_term_weights(spark, d):
-    weights = kw.term_weights(*kw.index(table(spark, d, "documents").withColumnRenamed("doc_id", "id"), text=F.col("text")))
+    weights = kw.term_weights(kw.index(table(spark, d, "documents").withColumnRenamed("doc_id", "id"), text=F.col("text")))
     return weights.select("term", F.round("idf", 6).alias("idf"))
 
 
@@ -485,11 +485,11 @@ def note_entities(spark, d):
     return en.note_entities(e, m, "n42").select(en.entity_key(F.col("canonical")).alias("key"), "confidence")
 
 
-@query(f"WITH {MENTIONS} SELECT count(DISTINCT CASE WHEN key = 'part 9' THEN 'part 8' ELSE key END) AS entities, count(DISTINCT (CASE WHEN key = 'part 9' THEN 'part 8' ELSE key END, path, chunk_idx)) AS mentions, 202 AS aliases FROM m")
+@query(f"WITH {MENTIONS} SELECT count(DISTINCT CASE WHEN key = 'part 9' THEN 'part 8' ELSE key END) AS entities, count(DISTINCT (CASE WHEN key = 'part 9' THEN 'part 8' ELSE key END, path, chunk_idx)) AS mentions, count(DISTINCT key) + 1 AS aliases FROM m")
 def entity_merge(spark, d):
     e, a, m = en.merge(*en.add_mentions(mention_rows(spark, d)), "Part 8", "p-9")
     counts = lambda t, n: t.agg(F.count("*").alias(n))
-    return counts(e, "entities").crossJoin(counts(m, "mentions")).crossJoin(a.agg((F.count("*") + 1).cast("int").alias("aliases")))
+    return counts(e, "entities").crossJoin(counts(m, "mentions")).crossJoin(counts(a, "aliases"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS date, event_type AS event, max(value) AS confidence FROM events WHERE user_id = 7 AND strftime(ts, '%Y-%m-%d') >= '2024-01-05' GROUP BY ALL")
@@ -615,3 +615,235 @@ SELECT path, last(action ORDER BY ts, event_id) AS action, min(ts) AS first, max
 def debounced_events(spark, d):
     rows = table(spark, d, "events").select(F.concat(F.col("user_id").cast("string"), F.lit(".md")).alias("path"), F.col("event_type").alias("action"), "ts", F.col("event_id").alias("sequence"))
     return watch.debounce(rows, "2 hours")
+
+
+# --- edits, stores and parts of the ranking --------------------------------------
+
+@query("SELECT p_partkey, 'sub/part ' || p_partkey AS path, p_partkey % 3 <> 0 AS valid, 'part' || p_partkey AS file, 'Part ' || p_partkey || ' x' AS title FROM part")
+def text_paths(spark, d):
+    k = F.col("p_partkey").cast("string")
+    path = F.concat(F.lit("C:\\vault\\sub\\part "), k)
+    inner = F.concat(F.lit("a/"), F.when(F.col("p_partkey") % 3 == 0, "..").otherwise("b"), F.lit("/c.md"))
+    content = F.concat(F.lit("\n \n## Part "), k, F.lit(" <x>?\nmore"))
+    return table(spark, d, "part").select("p_partkey", tx.normalize_vault_path(path, "C:\\vault").alias("path"), tx.is_valid_path(inner).alias("valid"), tx.sanitize_filename(F.concat(F.lit("pa/rt:"), k, F.lit("?"))).alias("file"), tx.auto_title(content).alias("title"))
+
+
+@query("""WITH p AS (SELECT p_partkey, chr(10) AS n, 'b' || p_partkey % 3 AS b FROM part)
+SELECT p_partkey, '---' || n || 'tags:' || n || '- a' || n || '- ' || b || n || '- c' || n || 'title: t' || p_partkey || n || '---' || n || n || 'body' AS added, b AS removed, 'z' AS replaced, 'body' AS body FROM p""")
+def frontmatter_tags(spark, d):
+    note = F.concat(F.lit("---\ntitle: t"), F.col("p_partkey").cast("string"), F.lit("\ntags:\n- a\n- b"), (F.col("p_partkey") % 3).cast("string"), F.lit("\n---\n\nbody\n"))
+    rows = table(spark, d, "part").select("p_partkey", note.alias("note"))
+    tags = lambda content: F.array_join(fm.parse(content)["tags"], "|")
+    note = F.col("note")
+    return rows.select("p_partkey", fm.add_tags(note, ["a", "c"]).alias("added"), tags(fm.remove_tags(note, ["a"])).alias("removed"), tags(fm.set_tags(note, ["z"])).alias("replaced"), fm.body(fm.set_tags(note, ["z"])).alias("body"))
+
+
+_BROKEN = ["no block", "---\nopen", "---\n \n---\nx", "---\ntags: x\ntags: y\n---\n", "---\naliases: 3\ntags:\n---\n", "---\ntags: [a, 1]\naliases: [b]\n---\n", "---\n- a\n---\n", "---\na: [\n---\n", "---\ntags: [a]\ncreated: 2024-01-02\naliases: [b, c]\ncssclasses: wide\n---\n"]
+_SAID = ["", "frontmatter is not closed", "frontmatter is empty", "duplicate key: tags|tags is a string, not a list", "tags is null, not a list|aliases is not a list", "tags has items that are not strings", "frontmatter is not a mapping", "invalid YAML", ""]
+
+
+@query(f"SELECT p_partkey, {_SAID!r}[p_partkey % {len(_SAID)} + 1] AS warnings, CASE WHEN p_partkey % 9 = 8 THEN '2024-01-02' END AS created, CASE p_partkey % 9 WHEN 8 THEN 'b,c' WHEN 5 THEN 'b' ELSE '' END AS aliases, CASE WHEN p_partkey % 9 = 8 THEN 'wide' ELSE '' END AS classes FROM part")
+def frontmatter_warnings(spark, d):
+    content = F.element_at(F.array(*map(F.lit, _BROKEN)), (F.col("p_partkey") % len(_BROKEN) + 1).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", content.alias("content"))
+    meta = rows.select("p_partkey", fm.validate(F.col("content")).alias("w"), fm.parse(F.col("content")).alias("m"))
+    return meta.select("p_partkey", F.array_join("w", "|").alias("warnings"), "m.created", F.array_join("m.aliases", ",").alias("aliases"), F.array_join("m.cssclasses", ",").alias("classes"))
+
+
+_TYPES = """r AS (SELECT 'part ' || (l_partkey % 200) AS key, ['Concept', 'Technology', 'Hardware', 'Project'][l_linenumber % 4 + 1] AS type, row_number() OVER (PARTITION BY l_partkey % 200 ORDER BY l_orderkey * 10 + l_linenumber) AS i FROM lineitem JOIN part ON l_partkey = p_partkey),
+f(key, i, type) AS (SELECT key, i, type FROM r WHERE i = 1 UNION ALL SELECT r.key, r.i, CASE WHEN (f.type <> 'Concept' AND r.type = 'Concept') OR (f.type = 'Hardware' AND r.type = 'Technology') THEN f.type ELSE r.type END FROM f JOIN r ON r.key = f.key AND r.i = f.i + 1),
+types AS (SELECT key, type FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1)"""
+_COUNTS = f"{_TYPES}, {MENTIONS}, n AS (SELECT key, count(*) AS n FROM m GROUP BY key)"
+
+
+@query(f"WITH RECURSIVE {_COUNTS} SELECT type, count(*) AS entities, sum(n)::BIGINT AS mentions FROM types JOIN n USING (key) GROUP BY type")
+def entity_stats(spark, d):
+    e, _, m = en.add_mentions(mention_rows(spark, d))
+    return en.stats(e, m)
+
+
+@query(f"WITH RECURSIVE {_COUNTS} SELECT key, n AS mention_count FROM types JOIN n USING (key) WHERE type = 'Project' ORDER BY n DESC, key LIMIT 30")
+def entities_of_type(spark, d):
+    e, _, m = en.add_mentions(mention_rows(spark, d))
+    return en.list_entities(e, m, "Project", 30).select("key", "mention_count")
+
+
+@query(f"WITH RECURSIVE {_COUNTS} SELECT 'Part 7' AS canonical, type, 'P-7' AS aliases, n AS mention_count FROM types JOIN n USING (key) WHERE key = 'part 7'")
+def entity_card(spark, d):
+    return en.entity_aliases(*en.add_mentions(mention_rows(spark, d)), "p-7").withColumn("aliases", F.array_join("aliases", ","))
+
+
+@query(f"WITH RECURSIVE {_TYPES} SELECT lower(s_name) AS key, 'Person' AS type, 1::BIGINT AS aliases FROM supplier UNION ALL SELECT key, CASE WHEN key = 'part 8' THEN 'Event' ELSE type END, 1 FROM types WHERE key IN ('part 7', 'part 8')")
+def entity_additions(spark, d):
+    e, a, _ = en.add_mentions(mention_rows(spark, d))
+    s = table(spark, d, "supplier")
+    manual = s.select(F.col("s_name").alias("name"), F.lit("Person").alias("type")).union(spark.range(1).select(F.lit(" Part 7"), F.lit("Event")))
+    e = en.change_type(en.add_manual(e, manual), "PART 8", "Event")
+    e, a = en.add_aliases(e, a, s.select(F.col("s_name").alias("name"), F.array(F.concat(F.lit("S-"), F.col("s_suppkey").cast("string"))).alias("aliases")))
+    count = a.groupBy("key").agg(F.count("*").alias("aliases"))
+    return e.filter("type = 'Person' OR key IN ('part 7', 'part 8')").join(count, "key").select("key", "type", "aliases")
+
+
+@query("SELECT 'n' || p_partkey AS path, unnest(['Hardware', 'Concept']) AS type, unnest(['Part ' || p_partkey, 'size ' || p_size]) AS name, 1.0::DOUBLE AS confidence FROM part")
+def entity_metadata(spark, d):
+    packed = F.concat(F.lit(",Hardware:Part "), F.col("p_partkey").cast("string"), F.lit(",odd,Concept:size "), F.col("p_size").cast("string"), F.lit(","))
+    chunks = table(spark, d, "part").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("path"), F.lit(0).alias("chunk"), packed.alias("entities_str"))
+    return en.from_metadata(chunks).select("path", "type", "name", "confidence")
+
+
+@query(f"WITH RECURSIVE {_COUNTS} SELECT DISTINCT type AS entity_type, 'Part ' || substr(key, 6) AS entity_name, path FROM m JOIN types USING (key) WHERE substr(path, 2)::INT % 2 = 1")
+def missing_entity_edges(spark, d):
+    e, _, m = en.add_mentions(mention_rows(spark, d))
+    held = m.join(e, "key").select(F.col("type").alias("entity_type"), F.col("canonical").alias("entity_name"), "path").filter(F.substring("path", 2, 9).cast("int") % 2 == 0)
+    return en.missing_edges(held, m, e)
+
+
+@query("SELECT lower(s_name) AS key, 'sup ' || s_suppkey AS alias FROM supplier UNION ALL SELECT 'part 7', 'seven'")
+def entity_import(spark, d):
+    rows = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit("Person").alias("type"), F.array(F.concat(F.lit("sup "), F.col("s_suppkey").cast("string"))).alias("aliases"))
+    incoming = rows.union(spark.range(1).select(F.lit("PART 7"), F.lit("Concept"), F.array(F.lit("seven"))))
+    e, a = en.resolve_import(incoming, *en.add_mentions(mention_rows(spark, d)))
+    return a.join(e.select("key"), "key").filter("alias LIKE 'sup %' OR alias = 'seven'").select("key", "alias")
+
+
+@query(f"WITH {GRAPH}, x AS (SELECT CASE src WHEN 'c24' THEN 'new' ELSE src END AS src, CASE dst WHEN 'c24' THEN 'new' ELSE dst END AS dst FROM edges) SELECT src, dst FROM x WHERE src <> 'c5' AND dst <> 'c5' UNION SELECT 'c1', 'new'")
+def graph_edited(spark, d):
+    _, edges = links(spark, d)
+    more = spark.sql("SELECT * FROM VALUES ('c1', 'new'), ('c2', 'c2') AS t(src, dst)")
+    return gr.add_edges(gr.remove_node(gr.rename_node(edges, "c24", "new"), "c5"), more)
+
+
+@query("SELECT 'Nation' AS entity_type, n_name AS entity_name, array_to_string(list_sort(list(DISTINCT s_name)), ',') AS paths FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+def entity_nodes(spark, d):
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    edges = s.join(n, s.s_nationkey == n.n_nationkey).select(F.lit("Nation").alias("entity_type"), F.col("n_name").alias("entity_name"), F.col("s_name").alias("path"))
+    return gr.entity_nodes(edges.union(edges)).withColumn("paths", F.array_join("paths", ","))
+
+
+@query("SELECT 'notes/' || p_partkey || '.md' AS path, CASE WHEN p_partkey = 2 THEN 'see [[2]]' || chr(10) || chr(10) || '[[1]]' ELSE 'see [[2]]' END AS content FROM part")
+def mutual_links(spark, d):
+    pages = table(spark, d, "part").select(F.concat(F.lit("notes/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"), F.lit("see [[2]]").alias("content"))
+    return gr.mutual_link(pages, "notes/1.md", "notes/2.md")
+
+
+@query("SELECT c_nationkey AS community, count(*) AS size, array_to_string(list_sort(list('c' || c_custkey))[1:50], ',') AS members FROM customer GROUP BY 1")
+def community_list(spark, d):
+    labels = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_nationkey").alias("community"))
+    return gr.community_list(labels).withColumn("members", F.array_join("members", ","))
+
+
+@query(f"WITH {NOTES} SELECT path FROM notes WHERE doc_id % 5 <> 0 AND starts_with(path, 'en/src1/')")
+def scoped_notes(spark, d):
+    rows = notes(spark, d)
+    rows = rows.withColumn("path", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Subjects/"), "path")).otherwise(F.col("path")))
+    return fi.without_subjects(rows).filter(fi.in_folder("en/src1/")).select("path")
+
+
+@query("SELECT 'p' || p_partkey AS path FROM part WHERE p_partkey % 2 = 1 OR p_partkey % 3 = 0")
+def typed_results(spark, d):
+    p = table(spark, d, "part").withColumn("path", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
+    results = p.select("path", F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("entity"), F.lit("keyword"))).otherwise(F.array(F.lit("semantic"))).alias("matched_by"))
+    mentions = p.select("path", F.when(F.col("p_partkey") % 3 == 0, "Hardware").otherwise("Event").alias("type"))
+    return fi.of_entity_type(results, mentions, ["Hardware", "Person"]).select("path")
+
+
+@query(f"WITH {NOTES} SELECT path FROM notes WHERE starts_with(path, 'fr/')")
+def folder_notes(spark, d):
+    return sn.list_folder_deep(notes(spark, d), "fr")
+
+
+@query(f"WITH {NOTES} SELECT path, md5(CASE WHEN doc_id % 4 = 0 THEN content || '!' ELSE content END) AS hash, CASE WHEN doc_id % 4 = 0 THEN mtime + 1 ELSE mtime END AS mtime FROM notes")
+def latest_notes(spark, d):
+    log = notes(spark, d).select("path", "content", "mtime", "doc_id")
+    edits = log.filter("doc_id % 4 = 0").select("path", F.concat("content", F.lit("!")).alias("content"), (F.col("mtime") + 1).alias("mtime"))
+    outside = log.limit(1).select(F.lit("a/../b.md").alias("path"), "content", "mtime")
+    return sn.latest(sn.put_notes(log.drop("doc_id"), edits.union(outside))).select("path", F.md5("content").alias("hash"), "mtime")
+
+
+@query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'high' ELSE 'low' END AS priority, count(*) AS total, count(*) FILTER (o_orderstatus <> 'F') AS pending FROM orders GROUP BY 1")
+def todo_priorities(spark, d):
+    return td.by_priority(td.parse(todo_lines(spark, d)))
+
+
+@query(f"""WITH {_TODOS}, x AS (SELECT 't' || o_orderkey AS id, CASE WHEN done OR o_orderkey = 1 THEN 'completed' ELSE 'pending' END AS status, CASE WHEN o_orderkey = 2 THEN '2030-01-01' ELSE due END AS due, CASE WHEN o_orderkey = 2 THEN 'x' ELSE NULL END AS tags, project FROM t WHERE o_orderkey <> 3)
+SELECT id, status, due, tags, project FROM x UNION ALL SELECT substr(sha256('New|a task|1'), 1, 8), 'pending', NULL, 'u,v', 'New'""")
+def todo_changes(spark, d):
+    t = td.parse(todo_lines(spark, d))
+    t = td.delete(td.update(td.complete(t, "t1"), "t2", due="2030-01-01", tags=["x"]), "t3")
+    t = td.add(t, "a task", "New", tags=["u", "v"])
+    tags = F.when((F.col("id") == "t2") | (F.col("project") == "New"), F.array_join("tags", ","))
+    return t.select("id", "status", "due", tags.alias("tags"), "project")
+
+
+@query("SELECT 't' || o_orderkey AS id, 'x/Blocked.md' AS path FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT 't' || o_orderkey, 'y/F.md' FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 't7', 'z/order 7.md' FROM orders WHERE o_orderkey = 7")
+def todo_notes(spark, d):
+    pages = spark.sql("SELECT path, '' AS content FROM VALUES ('x/Blocked.md'), ('y/F.md'), ('z/order 7.md'), ('z/none.md') AS t(path)")
+    return td.notes_of_todos(td.parse(todo_lines(spark, d)), pages)
+
+
+@query("SELECT ['failed', 'skipped', 'unchanged', 'indexed'][doc_id % 4 + 1] AS status, count(*) AS notes FROM documents GROUP BY 1")
+def run_status(spark, d):
+    long = F.concat(F.repeat(F.lit("word "), 30), F.col("doc_id").cast("string"))
+    kind = F.col("doc_id") % 4
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.when(kind == 1, "too short").when(kind >= 2, long).alias("content"), F.lit(0.0).alias("mtime"), kind.alias("kind"))
+    return ch.run_status(rows, inc.next_state(rows.filter("kind = 2")))
+
+
+@query("""SELECT 'moved' AS way, doc_id::VARCHAR AS path FROM documents WHERE doc_id % 5 = 0 OR doc_id % 2 = 1 UNION ALL SELECT 'kept', doc_id::VARCHAR FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0
+UNION ALL SELECT 'left', doc_id::VARCHAR FROM documents WHERE doc_id % 3 <> 0""")
+def index_upkeep(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("x").alias("content"), F.col("doc_id").cast("double").alias("mtime"), "doc_id")
+    state = inc.next_state(rows.filter("doc_id % 5 <> 0").withColumn("mtime", F.col("mtime") + F.when(F.col("doc_id") % 2 == 1, 1.0).otherwise(0.0001)))
+    now = rows.filter("doc_id % 3 <> 0")
+    way = lambda t, name: t.select(F.lit(name).alias("way"), "path")
+    return way(inc.without_untouched(rows.select("path"), rows, state), "moved").union(way(inc.collect_garbage(state, now), "kept")).union(way(ch.delete_paths(rows, rows.filter("doc_id % 3 = 0")), "left"))
+
+
+@query(f"WITH {PASSAGES} SELECT path, min(chunk * 60.0::DOUBLE) AS mtime FROM passages GROUP BY path")
+def bootstrapped_times(spark, d):
+    return inc.bootstrap_mtimes(passages(spark, d).withColumn("mtime", F.col("chunk") * F.lit(60.0)))
+
+
+@query(f"{hybrid_sql()} SELECT * FROM hits WHERE similarity_score >= 0.4 ORDER BY similarity_score DESC, path, matched_chunk_idx LIMIT 10")
+def threshold_search(spark, d):
+    return _hybrid(spark, d, min_similarity=0.4).drop("snippet")
+
+
+@query(f"""WITH {MENTIONS}, b AS (SELECT * FROM m WHERE key IN ('part 7', 'part 21') QUALIFY row_number() OVER (PARTITION BY key, path ORDER BY confidence DESC, chunk_idx) = 1),
+t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY confidence DESC, path) <= 10)
+SELECT path, key, confidence FROM t QUALIFY row_number() OVER (PARTITION BY path ORDER BY key = 'part 7') = 1""")
+def detected_entities(spark, d):
+    return ra.detect_entities(*en.add_mentions(mention_rows(spark, d)), "Who owns Part 7, and p-21?").select("path", "key", "confidence")
+
+
+@query("SELECT DISTINCT lower(n_name) AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0")
+def expanded_entities(spark, d):
+    found = table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(en.entity_key(F.col("s_name")).alias("key"), F.col("s_name").alias("canonical"))
+    return ra.expand_entities(relation_rows(spark, d), found)
+
+
+@query("""WITH r AS (SELECT 'p' || p_partkey AS path, p_partkey % 10 / 10.0::DOUBLE AS s FROM part WHERE p_partkey % 2 = 0), e AS (SELECT 'p' || p_partkey AS path, round(p_partkey % 7 / 10.0::DOUBLE * 0.9, 4) AS c FROM part WHERE p_partkey % 3 = 0)
+SELECT path, greatest(coalesce(s, 0), coalesce(c, 0)) AS similarity_score, CASE WHEN s IS NULL THEN 'ctx' ELSE 'snip' END AS snippet, c IS NOT NULL AS is_entity_match FROM r FULL JOIN e USING (path)""")
+def entity_results(spark, d):
+    p = table(spark, d, "part").withColumn("path", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
+    results = p.filter("p_partkey % 2 = 0").select("path", F.lit("t").alias("title"), (F.col("p_partkey") % 10 / 10.0).alias("similarity_score"), F.lit("snip").alias("snippet"))
+    found = p.filter("p_partkey % 3 = 0").select("path", (F.col("p_partkey") % 7 / 10.0).alias("confidence"), F.lit("ctx").alias("context"))
+    return ra.apply_entity_search(results, found).drop("title")
+
+
+@query(f"WITH {GRAPH}, r AS (SELECT path FROM nodes WHERE substr(path, 2)::BIGINT % 10 = 0), n AS (SELECT DISTINCT dst AS path FROM edges WHERE src IN (FROM r) AND dst NOT IN (FROM r)) SELECT path, 0.5::DOUBLE AS similarity_score, false AS linked FROM r UNION ALL SELECT path, 0.2, true FROM n")
+def graph_boosted(spark, d):
+    nodes, edges = links(spark, d)
+    results = nodes.filter(F.substring("path", 2, 19).cast("long") % 10 == 0).select("path", F.lit(0.5).alias("similarity_score"), F.lit("s").alias("snippet"))
+    found = ra.apply_graph_boost(results, edges, nodes.withColumn("content", F.lit("text")))
+    return found.select("path", "similarity_score", F.coalesce("is_graph_connected", F.lit(False)).alias("linked"))
+
+
+@query(f"""WITH {PASSAGES}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7), s AS (SELECT chunk_id AS path, {cosine_sql('embedding', 'v')} AS c FROM passages, q ORDER BY 1 - c, path LIMIT 12),
+f AS (SELECT path, round(1 / (2 - c), 4) AS s FROM s WHERE round(1 / (2 - c), 4) >= 0.55), r AS (SELECT chunk_id AS path, 0.6::DOUBLE AS t FROM passages WHERE chunk % 2 = 0)
+SELECT path, greatest(coalesce(t, 0), coalesce(s, 0)) AS similarity_score, s IS NOT NULL AS is_summary_match FROM r FULL JOIN f USING (path)""")
+def summary_results(spark, d):
+    p = passages(spark, d)
+    summaries = p.select(F.col("chunk_id").alias("path"), "title", F.col("document").alias("summary"), "embedding")
+    results = p.filter("chunk % 2 = 0").select(F.col("chunk_id").alias("path"), "title", F.lit(0.6).alias("similarity_score"), F.lit("x").alias("snippet"))
+    return ra.apply_summary_search(results, summaries, query_vector(spark, d), 12, 0.55).select("path", "similarity_score", "is_summary_match")

@@ -94,6 +94,67 @@ def test_communities(spark):
     assert got["A"] == got["B"] == got["C"] == 0 and got["D"] == got["E"] and len(set(got.values())) == 3
 
 
+def test_communities_equal_a_plain_sweep(spark):
+    """Asynchronous sweeps in path order, written as a plain loop over sets."""
+    import random
+
+    r = random.Random(4)
+    names = sorted(f"n{i:02d}" for i in range(60))
+    pairs = {(a, b) for a, b in ((r.choice(names[:50]), r.choice(names[:50])) for _ in range(70)) if a != b}
+    near = {x: {b for a, b in pairs if a == x} | {a for a, b in pairs if b == x} for x in names}
+    label, moved = {x: i for i, x in enumerate(names)}, True
+    while moved:
+        moved = False
+        for x in names:
+            seen = [label[y] for y in near[x]]
+            if seen:
+                new = min(set(seen), key=lambda k: (-seen.count(k), k))
+                moved, label[x] = moved or new != label[x], new
+    number = {k: i for i, k in enumerate(sorted(set(label.values()), key=str))}
+    got = {x.path: x.community for x in gr.communities(spark.createDataFrame([(x,) for x in names], "path string"), spark.createDataFrame(sorted(pairs), "src string, dst string")).collect()}
+    groups = lambda of: sorted(sorted(x for x in names if of[x] == k) for k in set(of.values()))
+    assert groups(got) == groups({x: number[label[x]] for x in names})
+
+
+def test_fuzzy_match_equals_difflib(spark):
+    import difflib
+    import random
+
+    r = random.Random(9)
+    words = ["".join(r.choice("abcde") for _ in range(r.randint(3, 9))) for _ in range(40)]
+    rows = [(i, w, "Concept", 0.5, f"n{j}", 0, "c", []) for i, w in enumerate(words) for j in range(r.randint(1, 4))]
+    e, a, m = en.add_mentions(spark.createDataFrame(rows, "seq long, name string, type string, confidence double, path string, chunk_idx int, context string, aliases array<string>"))
+    count = {}
+    for row in m.collect():
+        count[row.key] = count.get(row.key, 0) + 1
+    asked = [w[:k] + r.choice("abcde") + w[k:] for w in words for k in (0, 2)] + ["zzz"]
+    got = {x.name: (x.key, x.matched_by) for x in en.match(spark.createDataFrame([(x, []) for x in asked], "name string, aliases array<string>"), e, a, m).collect()}
+    for x in asked:
+        near = [k for k in count if difflib.SequenceMatcher(None, x, k).ratio() >= en.FUZZY]
+        want = (x, "exact") if x in count else (max(near, key=lambda k: (count[k], k)), "fuzzy") if near else (None, "new")
+        assert got[x] == want
+
+
+def test_stream_upserts_run_again(spark, tmp_path):
+    """The latest row of a key, deletes as of their time, and the same outcome when a batch is given twice."""
+    from cairn.streaming import watch
+
+    write = watch.apply_batch("kept_notes")
+    frame = lambda *rows: spark.createDataFrame(rows, "path string, action string, ts int, sequence long")
+    state = lambda: sorted((x.path, x.ts) for x in spark.table("kept_notes").collect())
+    for number, batch, want in (
+        (0, frame(("a", "index", 1, 0), ("a", "index", 2, 0), ("b", "index", 3, 0), ("b", "delete", 4, 0), ("c", "index", 1, 0)), [("a", 2), ("c", 1)]),
+        (1, frame(("c", "delete", 5, 0), ("b", "delete", 5, 0), ("b", "index", 5, 1)), [("a", 2), ("b", 5)]),
+        (2, frame(("a", "index", 6, 0)), [("a", 6), ("b", 5)]),
+    ):
+        for _ in range(2):
+            write(batch, number)
+            assert state() == want
+    spark.sql("DROP VIEW kept_notes")
+    for v in (0, 1, 2):
+        spark.sql(f"DROP TABLE IF EXISTS kept_notes_v{v}")
+
+
 def test_modularity(spark):
     edges = spark.createDataFrame([("A", "B"), ("B", "A"), ("C", "D"), ("D", "C")], "src string, dst string")
     labels = spark.createDataFrame([("A", 0), ("B", 0), ("C", 1), ("D", 1)], "path string, community int")
