@@ -1,36 +1,16 @@
 """Shared pieces: lineage cuts, checked broadcasts and vectorised word hashing."""
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows of a lookup table of a few fixed-width columns that may be broadcast; beyond it a shuffle join is used.
-BROADCAST_ROWS = 200_000
+from cairn.lineage import BROADCAST_ROWS, cut, shared_folder  # noqa: F401
+
 #: Texts of an Arrow batch; two workers of an executor hold one each.
 BATCH_ROWS = 1024
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cairn-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def checked_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the counted rows are within the limit, else df as it is."""
     return F.broadcast(df) if rows <= limit else df
@@ -44,6 +24,14 @@ def bound_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, or a longer one that no column of taken has (in either case of letters)."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,31 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from cairn.operators.graph import linked_components
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) for links (a, b): the smallest node that links reach.
-
-    Each round moves every node to its least neighbour, follows that move once
-    more, and contracts the links accordingly.  A node that stays has larger
-    neighbours only, so at least half of a component's nodes go in a round and
-    the links left shrink with them.  Minima are aggregated before they are
-    shuffled and joined from scanned tables, so that a node with many links
-    can be split.
-    """
-    edges = cut(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    while True:
-        both = edges.select("a", "b").union(edges.select("b", "a"))
-        low = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
-        jump = low.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = cut(low.join(jump, "label").select("node", F.col("further").alias("label")))
-        to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        labels = moved if labels is None else cut(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-        one = moved.select(F.col("node").alias("a"), F.col("label").alias("one"))
-        two = moved.select(F.col("node").alias("b"), F.col("label").alias("two"))
-        left = edges.join(one, "a").join(two, "b").filter("one <> two")
-        edges = cut(left.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct())
-        if edges.isEmpty():
-            return labels
+    """(node, label) for links (a, b): the smallest node that links reach."""
+    found = linked_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return found.select(F.col("path").alias("node"), F.col("component").alias("label"))

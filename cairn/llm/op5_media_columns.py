@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bound_batches, read_table, text_parts
+from .common import bound_batches, fresh, read_table, text_parts
 
 ROW = 64
 MAX_ROWS = 8191
@@ -328,9 +328,10 @@ def thumbnail_hash(plane: np.ndarray) -> str:
 
 
 def describe_media(files: DataFrame, column: str = "media") -> DataFrame:
-    """Adds width, height, thumbnail (bytes, row by row) and thumbnail_hash of the first image; null where it can't be read."""
-    schema = files.select("*", F.lit(0).alias("width"), F.lit(0).alias("height"), F.lit(b"").alias("thumbnail"), F.lit("").alias("thumbnail_hash")).schema
+    """Adds width, height, thumbnail (bytes, row by row) and thumbnail_hash of the first image, under longer names where these are taken; null where it can't be read."""
     names = files.columns
+    own = [fresh(x, names) for x in ("width", "height", "thumbnail", "thumbnail_hash")]
+    schema = files.select("*", *(F.lit(x).alias(name) for name, x in zip(own, (0, 0, b"", "")))).schema
 
     def describe(batches):
         for batch in batches:
@@ -342,7 +343,7 @@ def describe_media(files: DataFrame, column: str = "media") -> DataFrame:
                 except (ValueError, IndexError, KeyError, struct.error):
                     rows.append((None, None, None, None))
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=[*names, "width", "height", "thumbnail", "thumbnail_hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=[*names, *own])
 
     for f in schema.fields[-4:]:
         f.nullable = True

@@ -13,15 +13,16 @@ the blocks of a source, so a hot source is spread over many tasks.  The driver
 needs nothing but the plan; one row holds the totals of all sources.
 
 Edge cases: a document has its words and one end as tokens, so one without
-text (null or empty) has 1; a null source counts as the source ''; repeated
-rows are documents of their own; other columns are ignored (or kept, in
-``mix_rows``); an empty table gives an empty result.
+text (null or empty) has 1; a null source counts as the source '', a null doc_id
+has rows of its own; repeated
+rows are documents of their own; other columns, whatever their names, are ignored
+(or kept, in ``mix_rows``); an empty table gives an empty result.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import BROADCAST_ROWS, cut, read_table
+from .common import BROADCAST_ROWS, cut, fresh, read_table
 
 ENTROPY = 0.97
 REPEATS = 4.0
@@ -44,7 +45,6 @@ def source_weights(counted: DataFrame, entropy: float = ENTROPY, repeats: float
     cover: the budget is the least at which every document is taken at least once.
     """
     totals = counted.groupBy("key").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
-    totals.createOrReplaceTempView("cairn_source_totals")
     given = "NULL" if budget is None else str(int(budget))
     greatest = "pow(p_most / p_least, 1D - a)" if cover else "pow(p_least, a - 1D) / z * budget / total"
     # Sums for exponent a: z of the powers, and the entropy of the weights.
@@ -53,7 +53,7 @@ def source_weights(counted: DataFrame, entropy: float = ENTROPY, repeats: float
         AND ({greatest} <= {float(repeats)!r}D))[0])[0]"""
     step = f"IF({fits}, named_struct('low', b.low, 'high', mid), named_struct('low', mid, 'high', b.high))"
     return counted.sparkSession.sql(f"""
-        WITH t AS (SELECT *, cast(sum(tokens) OVER () AS DOUBLE) AS total FROM cairn_source_totals),
+        WITH t AS (SELECT *, cast(sum(tokens) OVER () AS DOUBLE) AS total FROM {{totals}}),
         r AS (SELECT array_sort(collect_list(tokens / total)) AS p, max(total) AS total, coalesce({given}, max(total)) AS budget FROM t),
         q AS (SELECT *, p[0] AS p_least, p[size(p) - 1] AS p_most FROM r WHERE size(p) > 0),
         e AS (SELECT *, IF({fits.replace("mid", "0D")}, 0D, aggregate(sequence(1, {STEPS}), named_struct('low', 0D, 'high', 1D),
@@ -62,16 +62,17 @@ def source_weights(counted: DataFrame, entropy: float = ENTROPY, repeats: float
         v AS (SELECT t.*, a, pow(tokens / total, a) / z AS weight, budget FROM t CROSS JOIN w)
         SELECT key, docs, tokens, cast(greatest(1, ceil(docs / {BLOCK_DOCS}D)) AS INT) AS blocks, a AS exponent, weight,
                cast({"ceil(weight * max(tokens / weight) OVER () - 1e-6D)" if cover else "floor(weight * budget)"} AS BIGINT) AS quota FROM v
-    """)
+    """, totals=totals)
 
 
-def schedule(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, cover: bool = False) -> DataFrame:
-    """doc_id, key, tokens, row, epoch, start (token of its source's stream) and weight: one row for each use of a document."""
-    counted = cut(docs.select(F.monotonically_increasing_id().alias("row") if "row" not in docs.columns else F.col("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("key"), token_count(F.col("text").cast("string")).alias("tokens")))
+def schedule(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, cover: bool = False, row: str | None = None) -> DataFrame:
+    """doc_id, key, tokens, row (its number, or the column of that name), epoch, start (token of its source's stream) and weight: one row for each use of a document."""
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    counted = cut(docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("key"), token_count(F.col("text").cast("string")).alias("tokens")))
     weights = cut(source_weights(counted, entropy, repeats, budget, cover))
     small = weights.count() <= BROADCAST_ROWS
     per_source = weights.select("key", "blocks", "weight", "quota", F.col("tokens").alias("all_tokens"))
-    placed = counted.join(F.broadcast(per_source) if small else per_source, "key").withColumn("block", F.pmod(_number(F.col("doc_id").cast("string")), F.col("blocks")).cast("int"))
+    placed = counted.join(F.broadcast(per_source) if small else per_source, "key").withColumn("block", F.pmod(_number(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("blocks")).cast("int"))
     within = Window.partitionBy("key", "block").orderBy("doc_id", "tokens", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("inside", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     totals = placed.groupBy("key", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("quota").alias("quota"), F.first("all_tokens").alias("all_tokens"))
@@ -84,10 +85,10 @@ def schedule(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS
 
 def mix_rows(docs: DataFrame, **limits) -> DataFrame:
     """The rows of docs with all their columns, each as often as the schedule uses it."""
-    numbered = cut(docs.withColumn("row", F.monotonically_increasing_id())) if "row" not in docs.columns else docs
-    uses = schedule(numbered, **limits).groupBy("row").agg(F.count("*").cast("int").alias("uses"))
-    out = numbered.join(uses, "row").withColumn("use", F.explode(F.sequence(F.lit(1), "uses")))
-    return out.select(*docs.columns)
+    row, uses = fresh("_row", docs.columns), fresh("_uses", docs.columns)
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    used = schedule(numbered, row=row, **limits).groupBy(F.col("row").alias(row)).agg(F.sequence(F.lit(1), F.count("*").cast("int")).alias(uses))
+    return numbered.join(used, row).select(*docs.columns, F.explode(uses).alias(uses)).drop(uses)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +109,7 @@ b(i, low, high) AS (
 z AS (SELECT CASE WHEN (SELECT ln(count(*)) <= {ENTROPY} * ln(count(*)) + 1e-12 AND 1 / min(p) / count(*) <= {REPEATS} FROM s) THEN 0 ELSE (SELECT high FROM b WHERE i = {STEPS}) END AS a),
 w AS (SELECT s.*, pow(p, a) / (SELECT sum(pow(p, a)) FROM s) AS weight FROM s, z),
 q AS (SELECT *, floor(weight * total)::BIGINT AS quota FROM w),
-d AS (SELECT c.*, quota, weight, q.tokens AS all_tokens, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % blocks AS block FROM c JOIN q USING (key)),
+d AS (SELECT c.*, quota, weight, q.tokens AS all_tokens, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % blocks AS block FROM c JOIN q USING (key)),
 e AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY key, block ORDER BY doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM d),
 k AS (SELECT key, block, sum(tokens) AS block_tokens, any_value(quota) AS quota, any_value(all_tokens) AS all_tokens FROM d GROUP BY key, block),
 x AS (SELECT *, unnest(range(0, greatest(1, ceil(quota / all_tokens))::BIGINT)) AS epoch FROM k WHERE quota > 0),

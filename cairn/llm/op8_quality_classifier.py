@@ -10,7 +10,8 @@ it scores every document, whole.
 
 Edge cases: a text without words (null, empty or blank) scores 0 and is
 rejected; repeated rows count as often as they occur; other columns don't
-matter; an empty table gives an empty result, and with only one class in the
+matter (with keep_columns, the operator's own get other names where theirs are
+taken); an empty table gives an empty result, and with only one class in the
 sample the posterior decides alone.
 """
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bound_batches, cut, mix64, read_table, text_parts, WordHasher
+from .common import bound_batches, cut, fresh, mix64, read_table, text_parts, WordHasher
 from .op1_quality_rules import text_counts
 
 #: Documents that train the scorer, at most.
@@ -29,6 +30,8 @@ BUCKETS = 4096
 EM_STEPS = 200
 #: Prior share of good documents that a labeller calls bad.
 FALSE_ALARM = 0.005
+#: What that prior weighs, in documents.
+PRIOR_DOCS = 500
 STEPS = 300
 THRESHOLD = 0.5
 
@@ -117,8 +120,9 @@ def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, steps: int = EM_STE
 
     Bad documents are of several kinds, each seen by few labellers, so the
     labellers depend on each other.  Without a prior the two classes would
-    settle on the largest kind; a Dirichlet prior, as heavy as the table,
-    holds that a labeller rarely calls a good document bad (FALSE_ALARM).
+    settle on the largest kind; a Dirichlet prior of PRIOR_DOCS documents holds
+    that a labeller rarely calls a good one bad (FALSE_ALARM).  Rates on both
+    classes are estimated; beyond some thousand documents they outweigh it.
     """
     voted = (patterns[:, :, None] == np.array([-1, 0, 1])).astype(float)
     total = counts.sum()
@@ -130,7 +134,7 @@ def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, steps: int = EM_STE
         weight = np.stack((counts * (1 - posterior), counts * posterior))
         prior = (weight[1].sum() + 1) / (total + 2)
         table = np.einsum("cp,plv->clv", weight, voted) + 0.5
-        table[1] += total * believed
+        table[1] += PRIOR_DOCS * believed
         table /= table.sum(axis=2, keepdims=True)
         new = pattern_posterior(patterns, prior, table)
         if np.abs(new - posterior).max(initial=0) < 1e-9:
@@ -213,9 +217,11 @@ SCHEMA = "doc_id long, posterior double, score double, quality boolean"
 
 
 def classify(docs: DataFrame, threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:
-    """doc_id, the labellers' posterior, the scorer's score and the verdict; keep_columns: after all columns of docs."""
+    """doc_id, the labellers' posterior, the scorer's score and the verdict; keep_columns: as the last three, after all columns of docs."""
     prior, table, w, b, both = fit(docs)
     names = docs.columns
+    own = [fresh(x, names if keep_columns else []) for x in ("posterior", "score", "quality")]
+    taken = fresh("_text", names + own)
 
     def score(batches):
         hasher, flags, shape = WordHasher(), byte_classes(), shape_of_bytes()
@@ -227,14 +233,14 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, keep_columns: bool =
                 total = np.bincount(of, weights=value * w[bucket], minlength=len(part)) + b
                 filled = np.diff(hasher.word_offsets) > 0
                 scored = np.where(filled, 1 / (1 + np.exp(-np.clip(total, -700, 700))) if both else posterior, 0.0)
-                own = [c.slice(first, len(part)) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(posterior), pa.array(scored), pa.array(scored >= threshold)], names=[*batch.schema.names[:-1], "posterior", "score", "quality"])
+                kept = [c.slice(first, len(part)) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(posterior), pa.array(scored), pa.array(scored >= threshold)], names=[*batch.schema.names[:-1], *own])
 
-    read = F.col("text").cast("string").alias("_text")
+    read = F.col("text").cast("string").alias(taken)
     if not keep_columns:
         return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), read).mapInArrow(score, SCHEMA)
     frame = bound_batches(docs).select(*names, read)
-    schema = frame.drop("_text").select("*", F.lit(None).cast("double").alias("posterior"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("quality")).schema
+    schema = frame.drop(taken).select("*", *(F.lit(None).cast(kind).alias(x) for x, kind in zip(own, ("double", "double", "boolean")))).schema
     return frame.mapInArrow(score, schema)
 
 
