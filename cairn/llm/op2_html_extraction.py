@@ -8,8 +8,8 @@ a fixed seed makes in many layouts (TRAINING_PAGES), and decoded by Viterbi.
 
 Edge cases: a null or empty page has an empty text; unclosed and stray tags
 are repaired as browsers do; scripts, styles, comments and what isn't shown
-are never blocks; pages of any length are read whole; repeated rows and other
-columns don't matter; an empty table gives an empty result.
+are never blocks; pages of any length are read whole, in time in proportion to it;
+repeated rows and other columns don't matter; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -34,64 +34,167 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: What may stand in a head; any other start tag, and text, ends it.
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 STOPS = frozenset("ul ol dl table body div section article".split())
-
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?<=/)>|<(script|style|noscript|template|iframe|object|svg|math|textarea|title)\b(?:[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)|[^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Elements whose content is text up to their end tag.
+RAW = frozenset("script style noscript iframe textarea title xmp noembed noframes".split())
+#: Distinct tags, and words of ancestors' classes and ids, that a path has at most; texts have no such bound.
+PATH_WORDS = 512
+
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+BETWEEN = re.compile(r"[\s/]*")
+ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+UNQUOTED = re.compile(r"[^\s>]*")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
+NAMING = frozenset(("class", "id", "role", "aria-label"))
 WORD = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
 
+def read_attributes(page: str, at: int) -> tuple[int, list[tuple[str, str]], bool]:
+    """Where the tag ends whose attributes begin at this place, the attributes, and whether it ends by '/>'.
+
+    Quotes count at the start of a value only.  A quote that nothing closes ends with the tag.
+    """
+    found, n = [], len(page)
+    while True:
+        at = BETWEEN.match(page, at).end()
+        if at >= n:
+            return n, found, False
+        if page[at] == ">":
+            return at + 1, found, page[at - 1] == "/"
+        name = ATTRIBUTE.match(page, at)
+        at, value = name.end(), ""
+        if equals := EQUALS.match(page, at):
+            at = equals.end()
+            if page[at : at + 1] in ('"', "'") and at < n:
+                end = page.find(page[at], at + 1)
+                close = end if end >= 0 else page.find(">", at + 1)
+                close = close if close >= 0 else n
+                value, at = page[at + 1 : close], close + (end >= 0)
+            else:
+                plain = UNQUOTED.match(page, at)
+                value, at = plain[0], plain.end()
+        found.append((name[0].lower(), value))
+
+
+def markup(page: str):
+    """(text before, kind, tag, attributes, self-closing) of each piece of markup in page order; kind is 'start', 'end', 'raw' or ''.
+
+    One pass: every piece begins where the last one ended.
+    """
+    begin = at = 0
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            yield page[begin:], "", "", (), False
+            return
+        text, follows = page[begin:at], page[at + 1 : at + 2]
+        if follows in ("!", "?"):
+            comment = page.startswith("!--", at + 1)
+            end = page.find("-->" if comment else ">", at + (2 if comment else 1))
+            end = len(page) if end < 0 else end + (3 if comment else 1)
+            yield text, "", "", (), False
+        elif name := TAG_NAME.match(page, at + 1 + (follows == "/")):
+            tag = name[0].lower()
+            end, attributes, closed = read_attributes(page, name.end())
+            kind = "end" if follows == "/" else "start"
+            if kind == "start" and tag in RAW:
+                kind = "raw"
+                stop = RAW_END[tag].search(page, end)
+                end = read_attributes(page, stop.end())[0] if stop else len(page)
+            yield text, kind, tag, attributes, closed
+        elif follows == "/":
+            end = page.find(">", at)
+            end = len(page) if end < 0 else end + 1
+            yield text, "", "", (), False
+        else:
+            at += 1
+            continue
+        begin = at = end
+
+
+class OpenElements:
+    """The stack of open elements, with counts that follow it."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.paths: list[tuple[str, ...]] = []
+        self.inner: list[str] = []
+        self.count: dict[str, int] = {}
+        self.hidden = self.foreign = 0
+
+    def push(self, tag: str, attributes) -> None:
+        path = self.paths[-1] if self.paths else ()
+        words = ["<" + tag]
+        for name, value in attributes:
+            if name in NAMING:
+                words += ["." + w.lower() for w in WORD.findall(value)]
+        held = dict.fromkeys(path)
+        new = [w for w in dict.fromkeys(words) if w not in held][: max(0, PATH_WORDS - len(path))]
+        self.tags.append(tag)
+        self.paths.append((*path, *new) if new else path)
+        self.inner.append(tag if tag in BLOCKS else self.inner[-1] if self.inner else "")
+        self.count[tag] = self.count.get(tag, 0) + 1
+        self.hidden += tag in HIDDEN
+        self.foreign += tag in ("svg", "math")
+
+    def cut(self, k: int) -> None:
+        for tag in self.tags[k:]:
+            self.count[tag] -= 1
+            self.hidden -= tag in HIDDEN
+            self.foreign -= tag in ("svg", "math")
+        del self.tags[k:], self.paths[k:], self.inner[k:]
+
+    def last(self, tag: str) -> int | None:
+        if not self.count.get(tag):
+            return None
+        k = len(self.tags) - 1
+        while self.tags[k] != tag:
+            k -= 1
+        return k
+
+    def path(self) -> tuple[str, ...]:
+        """Distinct tags and words of all open elements, and the innermost block."""
+        if not self.tags:
+            return ()
+        return (*self.paths[-1], "in<" + self.inner[-1]) if self.inner[-1] else self.paths[-1]
+
+
 def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, linked characters) of each leaf block, in page order; a path has tags and words of class and id."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    blocks, held, linked, links, hidden, path = [], [], 0, 0, 0, ()
-    at = 0
+    stack = OpenElements()
+    blocks, held, linked = [], [], 0
 
     def close():
         nonlocal linked
-        text = " ".join(html.unescape("".join(held)).split())
-        if text:
-            blocks.append((path, text, min(linked, len(text))))
-        held.clear()
+        if held:
+            text = " ".join(html.unescape("".join(held)).split())
+            if text:
+                blocks.append((stack.path(), text, min(linked, len(text))))
+            held.clear()
         linked = 0
 
-    def settle():
-        nonlocal path, links, hidden
-        path = tuple(w for _, words in stack for w in words)
-        links = sum(tag == "a" for tag, _ in stack)
-        hidden = sum(tag in HIDDEN for tag, _ in stack)
-
     def leave_head():
-        k = _last(stack, "head")
-        if k is not None and not any(tag in HIDDEN for tag, _ in stack[k + 1 :]):
+        k = stack.last("head")
+        if k is not None and not any(tag in HIDDEN for tag in stack.tags[k + 1 :]):
             close()
-            del stack[k:]
-            settle()
+            stack.cut(k)
 
-    for m in TOKEN.finditer(page):
-        text = page[at : m.start()]
-        if hidden and stack[-1][0] == "head" and text.strip() or m[1] and m[1].lower() not in HEAD:
+    for text, kind, tag, attributes, closed in markup(page):
+        if stack.hidden and stack.tags[-1] == "head" and text.strip() or kind == "raw" and tag not in HEAD:
             leave_head()
-        if text and not hidden:
+        if text and not stack.hidden:
             held.append(text)
-            if links:
+            if stack.count.get("a"):
                 linked += len(text)
-        at = m.end()
-        tag = m[3]
-        if not tag:
-            continue
-        tag = tag.lower()
-        if m[2]:
+        if kind == "end":
             if tag == "br":
                 held.append(" ")
-            if any(t == tag for t, _ in stack):
-                if tag in BLOCKS or any(t in BLOCKS for t, _ in stack[_last(stack, tag) :]):
+            k = stack.last(tag)
+            if k is not None:
+                if any(t in BLOCKS for t in stack.tags[k:]):
                     close()
-                del stack[_last(stack, tag) :]
-                settle()
+                stack.cut(k)
+        if kind != "start":
             continue
         if tag not in HEAD:
             leave_head()
@@ -101,39 +204,22 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in BLOCKS:
             close()
             if tag not in ("button", "label", "option"):
-                k = _last(stack, "p")
+                k = stack.last("p")
                 if k is not None:
-                    del stack[k:]
-            if tag in CLOSES:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in CLOSES[tag]:
-                        del stack[k:]
-                    elif stack[k][0] in STOPS:
+                    stack.cut(k)
+            if any(stack.count.get(t) for t in CLOSES.get(tag, ())):
+                for k in range(len(stack.tags) - 1, -1, -1):
+                    if stack.tags[k] in CLOSES[tag]:
+                        stack.cut(k)
+                    elif stack.tags[k] in STOPS:
                         break
-            settle()
-        if tag in VOID or m[4].endswith("/") and tag not in BLOCKS:
+        if tag in VOID or closed and (tag not in BLOCKS or stack.foreign):
             continue
-        words = ["<" + tag]
-        if m[4] and ("=" in m[4]):
-            for n in NAMES.finditer(m[4]):
-                words += ["." + w.lower() for w in WORD.findall(n[1] or n[2] or n[3] or "")]
-        stack.append((tag, tuple(words)))
-        settle()
-    if hidden and stack[-1][0] == "head" and page[at:].strip():
-        leave_head()
-    if not hidden:
-        held.append(page[at:])
+        stack.push(tag, attributes)
     close()
     return blocks
 
 
-def _last(stack: list, tag: str) -> int | None:
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == tag:
-            return k
-    return None
-
-
 CALLS = re.compile(r"(?i)\b(cookies?|subscribe|newsletter|sign (?:up|in)|log ?in|advert\w*|sponsored|share|tweet|repl(?:y|ies)|comments?|copyright|all rights reserved|privacy|terms|read more|related|search|menu|home|contact|accept|posted by|previous|next)\b|[©®]")
 
 
@@ -152,13 +238,7 @@ def text_features(text: str, linked: int) -> list[str]:
 
 def block_features(path: tuple[str, ...], text: str, linked: int) -> list[str]:
     """Names of the features that hold."""
-    seen = dict.fromkeys(path)
-    out = [*seen, *text_features(text, linked)]
-    for p in reversed(path):
-        if p[0] == "<" and p[1:] in BLOCKS:
-            out.append("in" + p)
-            break
-    return out
+    return [*path, *text_features(text, linked)]
 
 
 class Field:
@@ -173,9 +253,7 @@ class Field:
         if known is None:
             if len(self.paths) > 100_000:
                 self.paths.clear()
-            known = self.bias + sum(self.weights.get(f, 0.0) for f in dict.fromkeys(path))
-            inner = next((p for p in reversed(path) if p[0] == "<" and p[1:] in BLOCKS), "")
-            known += self.weights.get("in" + inner, 0.0)
+            known = self.bias + sum(self.weights.get(f, 0.0) for f in path)
             self.paths[path] = known
         return known + sum(self.weights.get(f, 0.0) for f in text_features(text, linked))
 
