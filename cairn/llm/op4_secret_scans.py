@@ -47,15 +47,15 @@ NAMED = "(?i:" + "|".join(w.replace("-", "[-]") for w in SECRET_WORDS) + r")[A-Z
 ASSIGN = r"(?:=>|:=|==?|:)"
 VALUE = r"[^\x20\x09-\x0D\"'`,;<>(){}\[\]&|=:][^\x20\x09-\x0D\"'`,;<>(){}\[\]&|]*"
 
-NAMES = ["length", "class_changes", "vowel_changes", "repeats", "distinct", "digits", "uppers", "hexadecimal", "uuid", "known", "coverage", "separators", "path", "secret_near", "other_near", "assigned"]
+NAMES = ["length", "class_changes", "vowel_changes", "repeats", "distinct", "digits", "uppers", "hexadecimal", "uuid", "known", "coverage", "separators", "path", "secret_near", "other_near", "assigned", "other_after"]
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
     return text.rlike("(" + "|".join(w.replace("-", "[-]") for w in words) + ")")
 
 
-def features(candidate: Column, before: Column, path: Column) -> list[Column]:
-    """Numbers, in the order of NAMES, of a candidate, the lower-case text before it (words and a part of its own word) and its path."""
+def features(candidate: Column, before: Column, after: Column, path: Column) -> list[Column]:
+    """Numbers, in the order of NAMES, of a candidate, the lower-case text before it (words and a part of its own word), the word after it and its path."""
     n = F.length(candidate).cast("double")
 
     def share(pattern: str) -> Column:
@@ -72,11 +72,24 @@ def features(candidate: Column, before: Column, path: Column) -> list[Column]:
         n, runs(classes), runs(kinds), 1 - runs(candidate), F.size(F.array_distinct(F.split(candidate, ""))) / n, share("[0-9]"), share("[A-Z]"),
         flag(candidate.rlike("^[0-9a-fA-F]+$")), flag(candidate.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")), flag(candidate.rlike(KNOWN_FORMS)),
         (n - F.length(covered)) / n, share(r"[_./=+\-]"), flag(path.rlike("(?i)(test|example|sample|fixture|doc|readme|lock)")), flag(_any(before, SECRET_WORDS)), flag(_any(before, OTHER_WORDS)), flag(before.rlike("[=:][\"' ]*$")),
+        flag(_any(F.lower(after), OTHER_WORDS)),
     ]
 
 
-def labelled_findings(n: int = LABELLED, seed: int = 11) -> list[tuple[str, str, str, int]]:
-    """(candidate, text before it, path, 1 for a secret) from a generator with a fixed seed."""
+def labelled_findings(n: int = LABELLED, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
+    """(candidate, text before it, word after it, path, 1 for a secret) from a generator with a fixed seed."""
+    r = random.Random(seed + 1)
+    prose = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4)))
+
+    def after(label: int) -> str:
+        """Prose, nothing, or, oftener after what only looks like a secret, a word that says what it is."""
+        chance = r.random()
+        return "" if chance < 0.15 else r.choice(OTHER_WORDS) + r.choice(["", ",", "."]) if chance < (0.18 if label else 0.35) else prose() + r.choice(["", "", "."])
+
+    return [(c, before, after(label), path, label) for c, before, path, label in _findings(n, seed)]
+
+
+def _findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
     r = random.Random(seed)
     hexa, word62, upper = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     draw = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
@@ -147,13 +160,13 @@ def labelled_findings(n: int = LABELLED, seed: int = 11) -> list[tuple[str, str,
     return out
 
 
-def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None = None) -> list:
+def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | None = None) -> list:
     """The forest, from the features that SQL computes for the labelled findings (a bounded number of rows)."""
     findings = findings if findings is not None else labelled_findings()
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    rows = ", ".join(f"({quote(c)}, {quote(b)}, {quote(p)}, {y})" for c, b, p, y in findings)
-    table = spark.sql(f"SELECT * FROM VALUES {rows} AS t(candidate, before, path, label)")
-    got = table.select(F.array(*features(F.col("candidate"), F.col("before"), F.col("path"))).alias("x"), "label").collect()
+    rows = ", ".join(f"({quote(c)}, {quote(b)}, {quote(a)}, {quote(p)}, {y})" for c, b, a, p, y in findings)
+    table = spark.sql(f"SELECT * FROM VALUES {rows} AS t(candidate, before, after, path, label)")
+    got = table.select(F.array(*features(*map(F.col, ("candidate", "before", "after", "path")))).alias("x"), "label").collect()
     return train(np.array([r.x for r in got], float), np.array([r.label for r in got]))
 
 
@@ -198,14 +211,16 @@ def scan(docs: DataFrame, forest: list, path: str = "source", threshold: float =
     """One row for each candidate: doc_id, word, candidate, before, after, path, features, probability, is_secret."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(candidates(F.col("text").cast("string"), F.col(path).cast("string"))).alias("c")).select("doc_id", "c.*")
     names = [F.col(f"x.{n}") for n in NAMES]
-    scored = found.withColumn("x", F.struct(*(f.alias(n) for f, n in zip(features(F.col("candidate"), F.col("before"), F.col("path")), NAMES))))
+    scored = found.withColumn("x", F.struct(*(f.alias(n) for f, n in zip(features(*map(F.col, ("candidate", "before", "after", "path"))), NAMES))))
     return scored.withColumn("probability", probability(forest, names)).withColumn("is_secret", F.col("probability") >= threshold)
 
 
 def redact(docs: DataFrame, forest: list, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """docs with every secret in text replaced by MASK; texts stay in their rows, so nothing is shuffled."""
-    score = lambda c: probability(forest, features(c["candidate"], c["before"], c["path"]))
-    secrets = F.transform(F.filter(candidates(F.col("text"), F.col(path).cast("string")), lambda c: score(c) >= threshold), lambda c: c["candidate"])
+    # Features are an array of their own before the forest reads them: as expressions, each of its nodes would compute them again.
+    of = lambda c: F.struct(c["candidate"].alias("candidate"), F.array(*features(c["candidate"], c["before"], c["after"], c["path"])).alias("x"))
+    scored = F.transform(candidates(F.col("text"), F.col(path).cast("string")), of)
+    secrets = F.transform(F.filter(scored, lambda s: probability(forest, [s["x"][i] for i in range(len(NAMES))]) >= threshold), lambda s: s["candidate"])
     # Longer ones first: a secret may hold another.
     ordered = F.array_sort(F.array_distinct(secrets), lambda a, b: F.length(b) - F.length(a))
     hidden = F.aggregate(ordered, F.col("text"), _masked)
