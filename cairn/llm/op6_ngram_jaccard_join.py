@@ -3,20 +3,25 @@
 Two sets of sizes a and b with 100 * intersection >= percent * union differ in
 at most (a + b) * (100 - percent) / (100 + percent) elements.  Sizes are cut
 into bands such that only sets of one band or of neighbouring bands can link.
-For each band the universe of shingles is hashed into segments; a segment
-whose subset must be equal counts 1, one whose subset may lack an element
-(its one-deletion neighbourhood is indexed as well) counts 2.  If the counts
-exceed the largest possible difference, linked sets agree on at least one
-segment.  How many segments get deletions is chosen by cost, from the numbers
-of sets in each band: signatures to ship against pairs that would meet in
-empty segments by chance.
-
-Equal word sequences are one class from the start.  A task first links what
-meets within it, then ships one signature each; sets that meet are joined to
-the least of them, not to each other.  The families so found are cut into
-blocks; each pair of blocks is compared in one task: counts of differing fine
-segments bound the difference from below, and what is left is verified on the
-words themselves, unless both are connected already.
+For each band the universe of shingles is hashed into segments.  Each set
+indexes its subset of every segment of its band and, for the segments that have
+deletions, the one-deletion neighbourhood.  As the smaller set of a pair it
+spends units on the segments of its own and of the next band: 1 unit asks for an
+equal subset, 2 ask for a subset that differs in one element, 0 skip the
+segment.  If the units exceed the largest possible difference, every linked
+set is met in at least one segment.  A set spends its units where lists are
+short: the length of a segment's list is bounded by the count of its rarest
+shingle (of its second rarest, for deletions), taken from a fixed-size count
+sketch of all shingles, so empty segments and those of common passages are
+skipped.  How many segments a band has, and how many of them with deletions, is
+chosen by cost from the number of its sets.
+
+Equal word sequences are one class from the start.  Sets that meet are first
+compared with one of them, the one that meets most others; what this links is one
+label.  Where sets of several labels meet, all pairs of different labels are
+compared.  A comparison is first of sketches (counts of elements in some cells,
+whose distance bounds the difference from below) and then, for the pairs left,
+of the words themselves.  No texts move but those of pairs whose sketches agree.
 
 Edge cases: a null text or one without words has an empty set and is linked
 with nothing; a text with fewer words than a shingle has its whole sequence as
@@ -29,30 +34,29 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import BROADCAST_ROWS, bound_batches, cut, mix64, read_table, text_parts, WordHasher
 from .graph import components
 
 WORDS = 3
 PERCENT = 90
-#: Sets and set elements of a block.
-BLOCK_SETS, BLOCK_ELEMENTS = 128, 400_000
+#: Partners of a set in a block of texts, and members of a block of sketches.
+BLOCK_PAIRS, BLOCK_SETS = 64, 256
 #: Signatures a task holds before it ships them.
-HELD = 1 << 19
-#: Cost of comparing a pair, in signatures shipped.
-PAIR_COST = 4.0
-#: Counters of words for the rarest-first order, and the blocks in which they are added up.
+HELD = 1 << 18
+#: Cost of a pair that meets by chance, in signatures shipped.
+PAIR_COST = 0.25
+#: Counters of shingles for the lengths of lists, and the blocks in which they are added up.
 COUNTER_BITS, COUNTER_BLOCKS = 20, 64
+#: A signature's kind: units spent on it (a deletion's: 1 if it is asked for), plus these.
+DELETION, ASKS_ONLY = 4, 8
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(hasher: WordHasher, part: list[bytes], k: int, levels: np.ndarray | None = None) -> tuple:
-    """Distinct shingle hashes of all texts, text by text; their numbers; and two hashes of each word sequence.
-
-    With levels (of word counts, by the top bits of the word's hash): also the least level in each shingle.
-    """
+def shingle_sets(hasher: WordHasher, part: list[bytes], k: int) -> tuple:
+    """Distinct shingle hashes of all texts, text by text; their numbers; and two hashes of each word sequence."""
     hasher.load(part)
     n, words = len(part), hasher.words
     windows, offsets = hasher.windows(k)
@@ -72,28 +76,43 @@ def shingle_sets(hasher: WordHasher, part: list[bytes], k: int, levels: np.ndarr
     first = order[np.concatenate(([True], ranked[1:] != ranked[:-1]))] if len(order) else order
     first = np.sort(first)
     first = first[np.argsort(text[first], kind="stable")]
-    out = values[first], np.bincount(text[first], minlength=n), np.array(sequence).T if n else np.zeros((0, 2), np.uint64)
-    if levels is None:
-        return out
-    level = levels[(words >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
-    least = level[: max(len(words) - k + 1, 0)].copy()
-    for j in range(1, k):
-        least = np.minimum(least, level[j : len(level) - k + 1 + j]) if len(least) else least
-    start = np.repeat(hasher.word_offsets[:-1] - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])
-    return *out, np.concatenate((least[start] if len(start) else least[:0], np.zeros(len(short), level.dtype)))[first]
+    return values[first], np.bincount(text[first], minlength=n), np.array(sequence).T if n else np.zeros((0, 2), np.uint64)
+
+
+def sketches(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Elements of each set in each of its cells (by the hash's top bits, a power of two of them, size / 4 to size / 2), up to 255."""
+    bits = np.maximum(3, np.ceil(np.log2(np.maximum(sizes, 1) / 4))).astype(np.int64)
+    ends = np.cumsum(1 << bits)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    cell = (values >> (64 - bits[text]).astype(np.uint64)).astype(np.int64) + (ends - (1 << bits))[text]
+    cells = np.minimum(np.bincount(cell, minlength=int(ends[-1]) if len(ends) else 0), 255).astype(np.uint8)
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(cells.tobytes())])
+
+
+def cells_of(blobs: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one width or more as rows of this width; what is folded is cut off at 255 too, so distances still bound from below."""
+    out = np.empty((len(blobs), width), np.int16)
+    for wide in {len(b) for b in blobs}:
+        at = [i for i, b in enumerate(blobs) if len(b) == wide]
+        rows = np.frombuffer(b"".join(blobs[i] for i in at), np.uint8).reshape(len(at), wide).astype(np.int16)
+        while rows.shape[1] > width:
+            rows = np.minimum(rows[:, 0::2] + rows[:, 1::2], 255)
+        out[at] = rows
+    return out
 
 
 def sequence_classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and the word sequence's hashes d1, d2 of each document."""
+    """doc_id, n_shingles, the word sequence's hashes d1, d2, and the sketch of each document."""
 
     def read(batches):
         hasher = WordHasher(lower=True)
         for batch in batches:
             for first, part in text_parts(batch.column(1)):
-                _, sizes, sequence = shingle_sets(hasher, part, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(sizes.astype(np.int64)), *(pa.array(np.ascontiguousarray(sequence[:, i]).view(np.int64)) for i in (0, 1))], names=["doc_id", "n_shingles", "d1", "d2"])
+                values, sizes, sequence = shingle_sets(hasher, part, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(sizes.astype(np.int64)), *(pa.array(np.ascontiguousarray(sequence[:, i]).view(np.int64)) for i in (0, 1)), sketches(values, sizes)], names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
-    return docs.mapInArrow(read, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.mapInArrow(read, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary")
 
 
 class Bands:
@@ -108,7 +127,7 @@ class Bands:
         self.low.append(low)
         n = np.array(sorted(sizes), np.int64)
         sets = np.bincount(self.of(n), weights=[sizes[x] for x in n.tolist()], minlength=len(self.low) + 1) if len(n) else np.zeros(len(self.low) + 1)
-        self.plan = [self.allocate(self.low[t + 1] - 1, sets[t] + (sets[t - 1] if t else 0)) for t in range(len(self.low) - 1)] + [(1, 0)]
+        self.plan = [self.allocate(self.low[t], self.low[t + 1] - 1, sets[t] + (sets[t - 1] if t else 0)) for t in range(len(self.low) - 1)] + [(1, 0)]
         self.filled = sets > 0
 
     def of(self, n: np.ndarray) -> np.ndarray:
@@ -118,27 +137,45 @@ class Bands:
         """The most elements in which linked sets of these sizes can differ."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
-    def allocate(self, size: int, sets: float) -> tuple[int, int]:
-        """(segments, of these with deletions) of least cost for sets up to this size."""
-        need = self.difference(size, size) + 1
+    def units(self, n: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Units that a set of size n spends to meet all linked sets of its size or more in a band."""
+        high = np.array(self.low + self.low[-1:])[table + 1] - 1
+        return self.difference(n, np.minimum(high, n * 100 // self.percent)) + 1
+
+    def allocate(self, low: int, high: int, sets: float) -> tuple[int, int]:
+        """(segments, of these with deletions) of least cost for sets of these sizes.
+
+        The cost is signatures shipped, plus the units that can't be spent on
+        segments of three elements or more (four, for deletions), each at
+        PAIR_COST times the list met there: of an empty segment, all sets that
+        have it empty; of one or two elements, a list that grows more slowly.
+        """
+        need, n = self.difference(high, high) + 1, max(low, (low + high) // 2)
         best = None
-        for deletions in range(need // 2 + 1):
-            segments = need - deletions
-            mean = size / segments
-            empty = math.exp(-2 * mean) if segments > 1 else 0.0
-            signatures = segments + deletions * mean
-            chance = segments * empty + deletions * 2 * mean * empty
-            cost = sets * signatures + PAIR_COST * sets * sets * chance
-            if best is None or cost < best[0]:
-                best = cost, segments, deletions
-            elif cost > 4 * best[0]:
-                break
+        for segments in sorted({max(1, math.ceil(need * x / 20)) for x in range(10, 27)}):
+            share = [math.comb(n, i) * (1 / segments) ** i * (1 - 1 / segments) ** (n - i) if segments > 1 else float(i == n) for i in range(4)]
+            lists = [max(1.0, sets * share[0]), max(1.0, sets**0.5), max(1.0, sets**0.25)]
+            for deletions in sorted({math.ceil(segments * x / 20) for x in range(21)}):
+                if segments + deletions < need:
+                    continue
+                lack, cost = max(0.0, need - segments * (1 - sum(share[:3])) - deletions * (1 - sum(share))), segments + deletions * n / segments
+                for i in (2, 1, 0):
+                    cost += min(lack, segments * share[i]) * lists[i] * PAIR_COST
+                    lack = max(0.0, lack - segments * share[i])
+                cost += lack * lists[0] * PAIR_COST
+                if best is None or cost < best[0]:
+                    best = cost, segments, deletions
         return best[1], best[2]
 
 
-def signatures(values: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text) of all sets of a part, in their own band and, where a link can reach it, the next."""
-    found, of = [], []
+#: Cost of a unit on a segment of so few elements (beyond all counts), for an equal subset and for one that differs in an element.
+POOR_EQUAL = np.array([100_000, 1_000, 100] + [0] * 13)
+POOR_DELETION = np.array([200_000, 100_000, 1_000, 100] + [0] * 12)
+
+
+def signatures(values: np.ndarray, sizes: np.ndarray, level: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, text, kind) of all sets of a part: what they index and ask for in their own band, what they ask for in the next."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8))]
     own = bands.of(sizes)
     segments_of, deletions_of = np.array(bands.plan, np.int64).T
     for shift in (0, 1):
@@ -148,156 +185,137 @@ def signatures(values: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.
         chosen = np.flatnonzero(takes)
         if not len(chosen):
             continue
-        m, x, t = segments_of[table[chosen]], deletions_of[table[chosen]], table[chosen].astype(np.uint64)
+        t = table[chosen]
+        m, x = segments_of[t], deletions_of[t]
         base = np.concatenate(([0], np.cumsum(m)))
+        slots = int(base[-1])
         member = np.repeat(takes, sizes)
-        h = values[member]
+        h, counts = values[member], level[member].astype(np.int64)
         text = np.repeat(np.arange(len(chosen)), sizes[chosen])
         mixed = mix64(h ^ PRIME)
-        segment = ((h >> np.uint64(32)) * m[text].astype(np.uint64)) >> np.uint64(32)
-        slot = base[text] + segment.astype(np.int64)
-        total = np.zeros(base[-1], np.uint64)
+        slot = base[text] + (((h >> np.uint64(32)) * m[text].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        total = np.zeros(slots, np.uint64)
         for bits in (np.uint64(0), np.uint64(32)):  # sums of 32-bit halves are exact in doubles
-            half = np.bincount(slot, weights=((mixed >> bits) & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=base[-1])
+            half = np.bincount(slot, weights=((mixed >> bits) & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=slots)
             total += half.astype(np.uint64) << bits
-        slot_text = np.repeat(np.arange(len(chosen)), m)
-        name = mix64((t[slot_text] << np.uint64(40)) + (np.arange(base[-1]) - base[slot_text]).astype(np.uint64) + np.uint64(1))
-        found.append(mix64(total ^ name))
-        of.append(chosen[slot_text])
-        if x.any():
-            lacks = np.flatnonzero(segment.astype(np.int64) < x[text])
-            found.append(mix64((total[slot[lacks]] - mixed[lacks]) ^ name[slot[lacks]]))
-            of.append(chosen[text[lacks]])
-    return (np.concatenate(found), np.concatenate(of)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def word_levels(docs: DataFrame) -> np.ndarray:
-    """floor(log2) of the summed counts of all words, by the top bits of their hashes: 2 ** COUNTER_BITS bytes at any size of the table."""
+        held = np.bincount(slot, minlength=slots)
+        ranked = np.append(counts[np.argsort(slot * 64 + counts, kind="stable")], (0, 0))
+        first = np.cumsum(held) - held
+        rarest, second = (np.where(held > i, ranked[np.minimum(first + i, len(h))], 0) for i in (0, 1))
+        of = np.repeat(np.arange(len(chosen)), m)
+        segment, few = np.arange(slots) - base[of], np.minimum(held, 15)
+        has = segment < x[of]
+        equal = rarest * 16 - few + POOR_EQUAL[few]
+        lacking = np.maximum(second * 16 - few + 48 + POOR_DELETION[few], equal + 1)[has]
+        cost, at = np.concatenate((equal, lacking)), np.concatenate((np.arange(slots), np.flatnonzero(has)))
+        order = np.lexsort((cost, of[at]))
+        rank = np.arange(len(order)) - (np.cumsum(m + x) - m - x)[of[at[order]]]
+        spent = rank < bands.units(sizes[chosen], t)[of[at[order]]]
+        units = np.bincount(at[order[spent]], minlength=slots)
+        name = mix64((t[of].astype(np.uint64) << np.uint64(40)) + segment.astype(np.uint64) + np.uint64(1))
+        kind = units + ASKS_ONLY * shift
+        shown = np.arange(slots) if shift == 0 else np.flatnonzero(units > 0)
+        found.append((mix64(total[shown] ^ name[shown]), chosen[of[shown]], kind[shown].astype(np.int8)))
+        lacks = np.flatnonzero(has[slot] if shift == 0 else units[slot] == 2)
+        at = slot[lacks]
+        found.append((mix64((total[at] - mixed[lacks]) ^ name[at]), chosen[text[lacks]], (DELETION + (units[at] == 2) + ASKS_ONLY * shift).astype(np.int8)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def shingle_levels(docs: DataFrame, k: int) -> np.ndarray:
+    """floor(log2) of the summed set counts of all shingles, by the top bits of their hashes: 2 ** COUNTER_BITS bytes at any size of the table."""
     width = (1 << COUNTER_BITS) // COUNTER_BLOCKS
 
     def count(batches):
         hasher, total = WordHasher(lower=True), np.zeros(1 << COUNTER_BITS, np.int64)
         for batch in batches:
             for _, part in text_parts(batch.column(1)):
-                hasher.load(part)
-                at, n = np.unique((hasher.words >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), return_counts=True)
-                total[at] += n
-        parts = total.reshape(COUNTER_BLOCKS, width)
-        full = [b for b in range(COUNTER_BLOCKS) if parts[b].any()]
-        at = [np.flatnonzero(parts[b]) for b in full]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([x.astype("<u2").tobytes() for x in at], pa.binary()), pa.array([parts[b][x].astype("<i8").tobytes() for b, x in zip(full, at)], pa.binary())], names=["block", "at", "n"])
-
-    def add(rows):
-        total = np.zeros(width, np.int64)
-        for at, n in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist()):
-            total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
-        level = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
-        return pa.table({"block": rows.column("block").slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
+                values, _, _ = shingle_sets(hasher, part, k)
+                total += np.bincount((values >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS)
+        for block, one in enumerate(total.reshape(COUNTER_BLOCKS, width)):
+            if one.any():  # a byte for each counter; counts of 255 or more again
+                large = np.flatnonzero(one >= 255)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.minimum(one, 255).astype(np.uint8), large.astype("<u2"), one[large].astype("<i8")))], names=["block", "n", "at", "large"])
+
+    def add(batches):
+        blocks = {}
+        for batch in batches:
+            for block, n, at, large in zip(*(c.to_pylist() for c in batch.columns)):
+                one = np.frombuffer(n, np.uint8).astype(np.int64)
+                one[np.frombuffer(at, "<u2")] = np.frombuffer(large, "<i8")
+                blocks[block] = blocks.get(block, 0) + one
+        for block, total in blocks.items():
+            level = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
 
     out = np.zeros((COUNTER_BLOCKS, width), np.uint8)
-    for row in docs.mapInArrow(count, "block int, at binary, n binary").groupBy("block").applyInArrow(add, "block int, level binary").collect():
+    for row in docs.mapInArrow(count, "block int, n binary, at binary, large binary").repartition("block").mapInArrow(add, "block int, level binary").collect():
         out[row.block] = np.frombuffer(row.level, np.uint8)
     return out.ravel()
 
 
-def rarest(values: np.ndarray, sizes: np.ndarray, level: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text): of each set the shingles of least level, ties by hash, of which linked sets share one.
-
-    A signature names the size band too, the set's own or, where a link can
-    reach it, the next, so that sets of far sizes don't meet.
-    """
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((values, level, text))
-    rank = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    keep = rank < np.repeat(sizes + (-sizes * bands.percent) // 100 + 1, sizes)
-    shingle, text = values[order[keep]], text[keep]
-    own = bands.of(sizes)
-    low, filled = np.array(bands.low), bands.filled
-    after = np.minimum(own + 1, len(bands.low) - 1)
-    reaches = filled[after] & (sizes * 100 >= low[after] * bands.percent)
-    band = own.astype(np.uint64)
-    both = reaches[text]
-    named = lambda s, t: mix64(mix64(s ^ PRIME) + t * PRIME)
-    return np.concatenate((named(shingle, band[text]), named(shingle[both], band[text[both]] + np.uint64(1)))), np.concatenate((text, text[both]))
-
-
-def _meet(signature: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row for each signature, with the least id; what met here is kept as a signature of its own for each pair (least, other)."""
-    order = np.lexsort((ids, signature))
-    signature, ids = signature[order], ids[order]
-    first = np.concatenate(([True], signature[1:] != signature[:-1])) if len(order) else np.zeros(0, bool)
-    least = ids[np.flatnonzero(first)][np.cumsum(first) - 1] if len(order) else ids
-    other = np.flatnonzero(~first & (least != ids))
-    pair = np.unique(np.stack((least[other], ids[other])), axis=1) if len(other) else np.zeros((2, 0), np.int64)
-    name = mix64(mix64(pair[0].view(np.uint64) ^ PRIME) + pair[1].view(np.uint64))
-    return np.concatenate((signature[first], name, name)), np.concatenate((ids[first], pair[0], pair[1]))
-
-
-def candidate_links(docs: DataFrame, k: int, bands: Bands, rare_first: bool = False) -> DataFrame:
-    """(a, b): sets that agree on a segment (rare_first: that share one of their rarest shingles), each with the least set there."""
-    levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs)) if rare_first else None
+def meetings(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
+    """(signature, id, whole): the members of each signature under which some set asks for what another indexes; whole is false for deletions."""
+    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, k))
 
     def read(batches):
-        hasher, held, size = WordHasher(lower=True), [], 0
+        hasher = WordHasher(lower=True)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, part in text_parts(batch.column(1), HELD):
+                values, sizes, _ = shingle_sets(hasher, part, k)
+                signature, text, kind = signatures(values, sizes, levels.value[(values >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], bands)
+                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(ids[first + text].astype(np.int64)), pa.array(kind)], names=["signature", "id", "kind"])
+
+    rows = docs.mapInArrow(read, "signature long, id long, kind byte")
+    whole, index = F.expr(f"kind & {DELETION} = 0"), F.expr(f"kind & {ASKS_ONLY} = 0")
+    units = F.expr("kind & 3")
+    mask = F.when(whole & index, 1).otherwise(0) + F.when(whole & (units >= 1), 2).otherwise(0) + F.when(whole & (units == 2), 4).otherwise(0) + F.when(~whole & index, 8).otherwise(0) + F.when(~whole & (units == 1), 16).otherwise(0)
+    group = Window.partitionBy("signature")
+    rows = rows.select("signature", "id", whole.alias("whole"), F.bit_or(mask).over(group).alias("mask"), F.count(F.when(whole, 1)).over(group).alias("wholes"))
+    has = lambda bits: F.col("mask").bitwiseAND(bits) == bits
+    return rows.filter((F.col("wholes") >= 2) & has(3) | has(4 + 8) | has(16 + 1)).select("signature", "id", "whole")
+
 
-        def ship():
-            signature, ids = _meet(*(np.concatenate(x) for x in zip(*held)))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(ids)], names=["signature", "id"])
+def similar_sizes(a, b, percent: int):
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
+
+def agreeing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").filter(similar_sizes(F.col("na"), F.col("nb"), percent))
+
+    def compare(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, part in text_parts(batch.column(1)):
-                if levels is None:
-                    values, sizes, _ = shingle_sets(hasher, part, k)
-                    signature, text = signatures(values, sizes, bands)
-                else:
-                    values, sizes, _, level = shingle_sets(hasher, part, k, levels.value)
-                    signature, text = rarest(values, sizes, level, bands)
-                held.append((signature, ids[first + text].astype(np.int64)))
-                size += len(signature)
-                if size > HELD:
-                    yield ship()
-                    size = 0
-        if held:
-            yield ship()
-
-    from pyspark.sql import Window
-
-    rows = docs.mapInArrow(read, "signature long, id long")
-    least = F.min("id").over(Window.partitionBy("signature"))
-    met = rows.withColumn("a", least).filter("a < id").select("a", F.col("id").alias("b")).distinct()
-    # A set meets others on many segments, and a family's sets meet the same few: each is joined to the
-    # least that it met, and that one to the others, which are the same links time and again.
-    first = F.min("a").over(Window.partitionBy("b"))
-    return met.withColumn("first", first).select(F.col("first").alias("a"), F.when(F.col("a") == F.col("first"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
-
-
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+            a, b, na, nb, sa, sb = (c.to_pylist() for c in batch.columns)
+            keep = []
+            shape = np.array([(min(len(x), len(y)), max(len(x), len(y))) for x, y in zip(sa, sb)], np.int64).reshape(-1, 2)
+            for width in np.unique(shape[:, 0]):
+                at = np.flatnonzero(shape[:, 0] == width)
+                for some in np.array_split(at, len(at) * int(width) // (1 << 22) + 1):
+                    differ = np.abs(cells_of([sa[i] for i in some], int(width)) - cells_of([sb[i] for i in some], int(width))).sum(axis=1)
+                    most = np.array([(na[i] + nb[i]) * (100 - percent) // (100 + percent) for i in some], np.int64)
+                    keep.append(some[differ <= most])
+            keep = pa.array(np.concatenate(keep) if keep else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(compare, "a long, b long").distinct()
 
 
 def exact_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted ids of the distinct shingles of each text; ids stand for the words themselves."""
     ids: dict[bytes, int] = {}
-    rows = [[ids.setdefault(w, len(ids)) for w in _split(t.lower())] for t in texts]
+    rows = [np.fromiter((ids.setdefault(w, len(ids)) for w in _split(t.lower())), np.int64) for t in texts]
     bits = max(1, len(ids).bit_length())
     out, other = [], {}
     for row in rows:
         if len(row) >= k and bits * k <= 62:
-            w = np.array(row, np.int64)
-            key = w[: len(w) - k + 1]
+            key = row[: len(row) - k + 1]
             for j in range(1, k):
-                key = (key << bits) | w[j : len(w) - k + 1 + j]
+                key = (key << bits) | row[j : len(row) - k + 1 + j]
         else:
-            parts = {tuple(row[i : i + k]) for i in range(max(1, len(row) - k + 1))} if row else set()
+            parts = {tuple(row[i : i + k].tolist()) for i in range(max(1, len(row) - k + 1))} if len(row) else set()
             key = np.array([-1 - other.setdefault(p, len(other)) for p in parts], np.int64)
         out.append(np.unique(key))
     return out
@@ -310,89 +328,136 @@ def _split(text: bytes) -> list[bytes]:
     return [w for w in text.translate(_BLANKS).split(b" ") if w]
 
 
-def compare_blocks(ids: list[int], texts: list[bytes], side: list[int], k: int, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked, among all pairs of one block (one side) or those across two (sides 0 and 1)."""
-    sets = exact_sets(texts, k)
-    size = np.array([len(s) for s in sets], np.int64)
-    side_of, n = np.array(side), len(ids)
-    fine = int(min(4096, max(32, 4 * (2 * size.max(initial=1) * (100 - percent) // (100 + percent) + 1))))
-    sketch = np.zeros((n, fine), np.uint16)
-    for i, s in enumerate(sets):
-        h = mix64(s.view(np.uint64) + PRIME)
-        sketch[i] = (np.bincount(((h >> np.uint64(40)) % np.uint64(fine)).astype(np.int64), weights=(h & np.uint64(0xFFFFFF)).astype(np.float64), minlength=fine).astype(np.int64) & 0xFFFF).astype(np.uint16)
-    forest, links, both = Forest(n), [], 1 in side
-    for i in range(n):
-        if not size[i] or both and side_of[i] == 1:
-            continue
-        others = np.flatnonzero(side_of == 1) if both else np.arange(i + 1, n)
-        a, b = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
-        others = others[(a > 0) & (100 * a >= percent * b)]
-        differ = (sketch[others] != sketch[i]).sum(axis=1)
-        near = differ <= (size[others] + size[i]) * (100 - percent) // (100 + percent)
-        for j in others[near][np.argsort(differ[near], kind="stable")]:
-            one, two = forest.root(i), forest.root(int(j))
-            if one == two:
-                continue
-            common = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-            if 100 * common >= percent * (size[i] + size[j] - common):
-                forest.up[two] = one
-                links.append((ids[i], ids[int(j)]))
-    return links
-
-
-def verified_links(docs: DataFrame, families: DataFrame, sizes: DataFrame, k: int, percent: int, bands: Bands | None = None) -> DataFrame:
-    """(a, b): links among the members of each family, enough to connect all that is linked.
-
-    families: node, label; sizes: id, n.  A family of more than one block is
-    compared block by block, so a member is shipped as often as there are blocks.
-    With bands, a family is cut by size first: a member takes part in its own
-    band and in the next, and linked ones share one of these.
+def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links by their words.
+
+    The partners of a are dealt in blocks of about BLOCK_PAIRS, and each block gets the text of a once.
     """
-    band = F.lit(0)
-    if bands is not None:
-        own = F.size(F.filter(F.array(*map(F.lit, bands.low)), lambda x: x <= F.col("n"))) - 1
-        band = F.explode(F.array(own, own + 1))
-    members = cut(families.join(sizes, families.node == sizes.id).select("node", "label", "n", band.alias("band")))
-    blocks = cut(members.groupBy("label", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks")))
-    placed = cut(members.join(blocks, ["label", "band"]).select("node", "label", "band", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    rows = placed.count()
-    placed = F.broadcast(placed) if rows <= BROADCAST_ROWS else placed
-    with_text = docs.join(placed, docs.doc_id == placed.node)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = with_text.select("node", "label", "band", "block", other.alias("with"), "text").select("label", "band", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "node", (F.col("block") == F.greatest("block", "with")).cast("int").alias("second"), "text")
+    pairs = cut(pairs)
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_PAIRS).cast("int").alias("blocks"))
+    dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    members = cut(dealt.select("a", "block", F.explode(F.array("a", "b")).alias("node")).distinct())
+    placed = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    texts = docs.join(placed, docs.doc_id == placed.node).select("a", "block", (F.col("node") != F.col("a")).alias("partner"), "node", "text")
 
     def compare(batches):
-        key, ids, side, texts = None, [], [], []
+        key, hubs, held, size = None, [], [], 0
 
         def done():
-            links = compare_blocks(ids, texts, [s if key[2] != key[3] else 0 for s in side], k, percent) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            if not hubs or not held:
+                return [], []
+            sets = exact_sets(hubs + [t for _, t in held], k)
+            found = []
+            for s, (node, _) in zip(sets[len(hubs) :], held):
+                for h in sets[: len(hubs)]:
+                    common = np.intersect1d(s, h, assume_unique=True).size
+                    if common and 100 * common >= percent * (len(s) + len(h) - common):
+                        found.append(node)
+                        break
+            return [key[0]] * len(found), found
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            raw = batch.column(6).cast(pa.large_binary()).to_pylist()
-            for label, band, one, two, node, second, text in zip(*columns, raw):
-                if key != (label, band, one, two):
-                    if key is not None:
-                        yield done()
-                    key, ids, side, texts = (label, band, one, two), [], [], []
-                ids.append(node)
-                side.append(second)
-                texts.append(text or b"")
-        if key is not None:
-            yield done()
-
-    return dealt.repartition("label", "band", "one", "two").sortWithinPartitions("label", "band", "one", "two", "node").mapInArrow(compare, "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rare_first: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id: the least doc_id that links of at least percent / 100 reach.
-
-    rare_first finds the same links by other candidates, for thresholds at
-    which segments hold too few shingles to tell sets apart: each set offers
-    its rarest shingles, size - ceil(size * percent / 100) + 1 of them, by the
-    count of their rarest word.
+            found = [], []
+            for a, block, partner, node, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4).cast(pa.large_binary()).to_pylist()):
+                if key != (a, block) or size > 1 << 22:
+                    for x, y in zip(found, done()):
+                        x += y
+                    hubs, held, size = hubs if key == (a, block) else [], [], 0
+                    key = a, block
+                if partner:
+                    held.append((node, text or b""))
+                else:
+                    hubs.append(text or b"")
+                size += len(text or b"")
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done()], names=["a", "b"])
+
+    return texts.repartition("a", "block").sortWithinPartitions("a", "block", "partner", "node").mapInArrow(compare, "a long, b long").distinct()
+
+
+def pairs_across(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, la, lb, differ): pairs of different labels that meet, whose sizes and sketches allow a link.
+
+    met: signature, id, label.  A signature with more than BLOCK_SETS members is
+    compared block by block, so only sketches are shipped more than once.
     """
+    sizes = met.groupBy("signature").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    dealt = met.join(sizes, "signature").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.join(sets.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "id").select("signature", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "id", "label", (F.col("block") == F.greatest("block", "with")).alias("second"), F.col("n_shingles").alias("n"), "sketch")
+
+    def compare(batches):
+        key, held = None, []
+
+        def done():
+            out = []
+            if len(held) < 2:
+                return out
+            ids, labels, second, n = (np.array(x) for x in list(zip(*held))[:4])
+            cells = cells_of([h[4] for h in held], min(len(h[4]) for h in held))
+            across = key[1] != key[2]
+            for i in range(len(ids) - (not across)):
+                if across and second[i]:
+                    continue
+                others = np.flatnonzero(second) if across else np.arange(i + 1, len(ids))
+                a, b = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
+                others = others[(labels[others] != labels[i]) & (100 * a >= percent * b)]
+                differ = np.abs(cells[others] - cells[i]).sum(axis=1)
+                near = differ <= (n[others] + n[i]) * (100 - percent) // (100 + percent)
+                for j, d in zip(others[near].tolist(), differ[near].tolist()):
+                    x, y = (i, j) if ids[i] < ids[j] else (j, i)
+                    out.append((int(ids[x]), int(ids[y]), int(labels[x]), int(labels[y]), d))
+            return out
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(5)], names=["a", "b", "la", "lb", "differ"])
+
+        for batch in batches:
+            found = []
+            for signature, one, two, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (signature, one, two):
+                    found += done()
+                    key, held = (signature, one, two), []
+                held.append(row)
+            yield batch_of(found)
+        yield batch_of(done())
+
+    dealt = rows.repartition("signature", "one", "two").sortWithinPartitions("signature", "one", "two")
+    return dealt.mapInArrow(compare, "a long, b long, la long, lb long, differ long").groupBy("a", "b", "la", "lb").agg(F.min("differ").alias("differ"))
+
+
+def labelled(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """rows with the labels (node, label) in place of column, where there are any."""
+    of = labels.select(F.col("node").alias(column), F.col("label").alias("_found"))
+    return rows.join(of, column, "left").withColumn(column, F.coalesce("_found", column)).drop("_found")
+
+
+def links_among(docs: DataFrame, sets: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links that connect all that is linked among sets that meet."""
+    met = cut(met)
+    ids = cut(met.select(F.col("id").alias("doc_id")).distinct())
+    sets = cut(sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi"))
+    degree = met.groupBy("id").agg(F.count("*").alias("degree"))
+    hubs = met.filter("whole").join(degree, "id").groupBy("signature").agg(F.max(F.struct("degree", "id"))["id"].alias("hub"))
+    stars = met.join(hubs, "signature").filter("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    links = cut(verified(docs, agreeing(stars, sets, percent), k, percent))
+    labels = components(links)
+    # Signatures with the same members (by count and 128 bits of hashes) are compared once.
+    rows = cut(labelled(met.select("signature", "id", F.col("id").alias("label")), "label", labels))
+    kinds = rows.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    kept = kinds.filter("low < high").groupBy("n", "x", "y").agg(F.min("signature").alias("signature")).select("signature")
+    across = cut(pairs_across(rows.join(kept, "signature"), sets, percent))
+    # The closest pair of each two labels first; most of the others are connected by these.
+    closest = across.groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).agg(F.min(F.struct("differ", "a", "b")).alias("pair"))
+    first = cut(verified(docs, closest.select("pair.a", "pair.b").distinct(), k, percent))
+    linked = across.join(first, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    merged = components(linked)
+    rest = labelled(labelled(across, "la", merged), "lb", merged).filter("la <> lb").join(first, ["a", "b"], "left_anti").join(closest.select("pair.a", "pair.b"), ["a", "b"], "left_anti")
+    return links.union(first).union(cut(verified(docs, rest.select("a", "b"), k, percent)))
+
+
+def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id: the least doc_id that links of at least percent / 100 reach."""
     docs = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = cut(sequence_classes(docs, k))
     classes = cut(sets.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")))
@@ -402,9 +467,8 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     dropped = cut(sets.join(repeated, ["d1", "d2"]).filter("doc_id <> id").select("doc_id").distinct())
     n_dropped = dropped.count()
     kept = docs.join(F.broadcast(dropped) if n_dropped <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").filter("doc_id IS NOT NULL")
-    families = components(candidate_links(kept, k, bands, rare_first))
-    links = cut(verified_links(kept, families, classes.select("id", "n"), k, percent, bands if rare_first else None))
-    joined = components(links)
+    sized = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "sketch")
+    joined = components(links_among(kept, sized, meetings(kept, k, bands), k, percent))
     of_class = cut(classes.join(joined, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("label", "id").alias("component_id")))
     full = sets.filter("n_shingles > 0").join(of_class, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     return full.union(sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
