@@ -3,12 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents.  ``run`` writes each stage's result to
 the shared folder and rereads it for the next.
+
+Edge cases: null or empty texts are rejected by the first stage; rows with a null
+or repeated doc_id are rows of their own in every stage; other columns of the
+documents, whatever their names, are kept up to the last stage; an empty table
+gives an empty result.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairn.llm.common import BROADCAST_ROWS, cut, read_table
+from cairn.llm.common import BROADCAST_ROWS, cut, fresh, read_table
 from cairn.llm.op4_secret_scans import redact, train_forest
 from cairn.llm.op6_ngram_jaccard_join import jaccard_components
 from cairn.llm.op7_mixing import mix_rows
@@ -19,13 +24,12 @@ from cairn.llm.op9_packing import pack_documents
 WORDS, PERCENT = 5, 80
 #: A small source is repeated at most so often while every document is used.
 REPEATS = 2.0
-#: The number of a row, where doc_id doesn't tell rows apart.
-ROW = "__row"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return classify(docs, keep_columns=True).filter("quality").select(*docs.columns)
+    judged = classify(docs, keep_columns=True)
+    return judged.filter(F.col(judged.columns[-1])).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +41,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     unclear = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count()
     if not unclear:
-        groups = cut(jaccard_components(docs, WORDS, PERCENT, rare_first=True))
+        groups = cut(jaccard_components(docs, WORDS, PERCENT))
         return _without(docs, groups.filter("doc_id <> component_id").select("doc_id"))
-    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    groups = jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text"), WORDS, PERCENT, rare_first=True)
-    groups = cut(rows.select(ROW, "doc_id").join(groups.withColumnRenamed("doc_id", ROW), ROW))
+    row = fresh("_row", docs.columns + ["doc_id", "n_shingles", "component_id"])
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), WORDS, PERCENT)
+    groups = cut(rows.select(row, "doc_id").join(groups.withColumnRenamed("doc_id", row), row))
     # Texts without words are linked with nothing; they repeat if they have the same doc_id.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW))[ROW].alias(ROW)
-    linked = groups.filter("n_shingles > 0").groupBy("component_id").agg(first).select(ROW)
-    blank = groups.filter("n_shingles = 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(ROW).alias(ROW)).select(ROW)
-    stay = linked.union(blank).union(groups.filter("n_shingles = 0 AND doc_id IS NULL").select(ROW))
-    return _without(rows, cut(groups.select(ROW).join(stay, ROW, "left_anti"))).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", row))[row].alias(row)
+    linked = groups.filter("n_shingles > 0").groupBy("component_id").agg(first).select(row)
+    blank = groups.filter("n_shingles = 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row).alias(row)).select(row)
+    stay = linked.union(blank).union(groups.filter("n_shingles = 0 AND doc_id IS NULL").select(row))
+    return _without(rows, cut(groups.select(row).join(stay, row, "left_anti"))).select(*docs.columns)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
