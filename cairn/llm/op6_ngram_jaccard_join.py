@@ -80,8 +80,8 @@ def shingle_sets(hasher: WordHasher, part: list[bytes], k: int) -> tuple:
 
 
 def sketches(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Elements of each set in each of its cells (by the hash's top bits, a power of two of them, size / 4 to size / 2), up to 255."""
-    bits = np.maximum(3, np.ceil(np.log2(np.maximum(sizes, 1) / 4))).astype(np.int64)
+    """Elements of each set in each of its cells (by the hash's top bits, a power of two of them, size to twice the size), up to 255."""
+    bits = np.maximum(3, np.ceil(np.log2(np.maximum(sizes, 1)))).astype(np.int64)
     ends = np.cumsum(1 << bits)
     text = np.repeat(np.arange(len(sizes)), sizes)
     cell = (values >> (64 - bits[text]).astype(np.uint64)).astype(np.int64) + (ends - (1 << bits))[text]
