@@ -8,12 +8,14 @@ Dirichlet-smoothed towards the word probabilities, and a text's score mixes
 both orders: log10(PAIR_SHARE * P_pairs + (1 - PAIR_SHARE) * P_words).
 
 The filter has 8 bits for each training token at any size, in segments by the
-n-gram's top bits.  Up to MAX_FILTER_BITS (64 MB) it is broadcast; a larger one
+n-gram's top bits.  Up to MAX_FILTER_BITS (128 MB) it is broadcast; a larger one
 stays a table of segments, and each block of texts joins its n-grams with the
 segments and gets their levels back, so both ways give the same scores.  Exact
-word counts are broadcast for at most
-TOP_WORDS words; all rarer ones are joined, so the base score is exact at any
-size; the score takes all counts from the filter.  Words are told apart by 64-bit hashes.
+word counts are broadcast for at most TOP_WORDS words; all rarer ones are joined,
+so the base score is exact at any size; the score takes all counts from the
+filter.  Words are told apart by 64-bit hashes, n-grams by their segment and 32
+bits more.  Counts are those of the filter's levels and a text's mixture is of its
+two whole products, so the probabilities of all texts needn't sum to one.
 
 Edge cases: a null or empty text has the end token only; repeated rows count
 as often as they occur; without training documents N and V are 0 and scores
@@ -33,7 +35,7 @@ FOLDS, HELD_OUT_FOLD = 5, 1
 TOP_WORDS = 1 << 20
 BITS_PER_TOKEN = 8
 #: The largest filter that is broadcast.
-MAX_FILTER_BITS = 1 << 29
+MAX_FILTER_BITS = 1 << 30
 PRIOR_WEIGHT = 8.0
 PAIR_SHARE = 0.5
 #: N-grams a task counts before it hands them on.
@@ -115,18 +117,18 @@ def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def _blob(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys of one segment: the top 40 bits of each, a byte of count, and the counts of 255 or more again."""
+    """Sorted keys of one segment: the top 32 bits of each, a byte of count, and the counts of 255 or more again."""
     large = np.flatnonzero(counts >= 255)
     head = np.array([len(keys), len(large)], "<u4").tobytes()
-    return b"".join((head, (keys >> np.uint64(32)).astype("<u4").tobytes(), (keys >> np.uint64(24)).astype(np.uint8).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), large.astype("<u4").tobytes(), counts[large].astype("<i8").tobytes()))
+    return b"".join((head, _pack(keys), np.minimum(counts, 255).astype(np.uint8).tobytes(), large.astype("<u4").tobytes(), counts[large].astype("<i8").tobytes()))
 
 
 def _unblob(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, m = np.frombuffer(raw, "<u4", 2)
     n, m, at = int(n), int(m), 8
-    keys = np.frombuffer(raw, "<u4", n, at).astype(np.uint64) << np.uint64(32) | np.frombuffer(raw, np.uint8, n, at + 4 * n).astype(np.uint64) << np.uint64(24)
-    counts = np.frombuffer(raw, np.uint8, n, at + 5 * n).astype(np.int64)
-    at += 6 * n
+    keys = np.frombuffer(raw, "<u4", n, at).astype(np.uint64) << np.uint64(32)
+    counts = np.frombuffer(raw, np.uint8, n, at + 4 * n).astype(np.int64)
+    at += 5 * n
     counts[np.frombuffer(raw, "<u4", m, at)] = np.frombuffer(raw, "<i8", m, at + 4 * m)
     return keys, counts
 
@@ -214,8 +216,8 @@ class LogFilter:
 
 
 def _kept(keys: np.ndarray) -> np.ndarray:
-    """What a blob keeps of a key: its top 40 bits."""
-    return keys >> np.uint64(24) << np.uint64(24)
+    """What a blob keeps of a key: its top 32 bits."""
+    return keys >> np.uint64(32) << np.uint64(32)
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -261,14 +263,17 @@ def _blocks(batches):
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
-    """docs with their block and their place in it."""
+    """block, mark and the block's rows, as a compressed Arrow stream."""
 
     def read(batches):
         for block, mark, batch, first, part in _blocks(batches):
-            n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, mark)), pa.array(np.arange(n, dtype=np.int32)), *(batch.column(k).slice(first, n) for k in range(3))], names=["block", "mark", "place", "doc_id", "held_out", "text"])
+            rows = pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(part)) for k in range(2)), pa.array(part, pa.large_binary())], names=["doc_id", "held_out", "text"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([mark]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "mark", "rows"])
 
-    return docs.mapInArrow(read, "block long, mark long, place int, doc_id long, held_out boolean, text string")
+    return docs.mapInArrow(read, "block long, mark long, rows binary")
 
 
 def asked_segments(docs: DataFrame, frame: LogFilter, probes) -> DataFrame:
@@ -289,13 +294,12 @@ def asked_segments(docs: DataFrame, frame: LogFilter, probes) -> DataFrame:
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """The top 40 bits of each key."""
-    return (keys >> np.uint64(32)).astype("<u4").tobytes() + (keys >> np.uint64(24)).astype(np.uint8).tobytes()
+    """The top 32 bits of each key."""
+    return (keys >> np.uint64(32)).astype("<u4").tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    n = len(raw) // 5
-    return np.frombuffer(raw, "<u4", n).astype(np.uint64) << np.uint64(32) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(24)
+    return np.frombuffer(raw, "<u4").astype(np.uint64) << np.uint64(32)
 
 
 def joined_levels(asked: DataFrame, built: DataFrame, frame: LogFilter) -> DataFrame:
@@ -353,7 +357,8 @@ def score_documents(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, top
         asked = [(0, 0, int(segment[i]), _pack(rest[i:j])) for i, j in zip(cuts[:-1], cuts[1:])]
         got = joined_levels(spark.createDataFrame(asked, "block long, mark long, segment int, keys binary"), built, frame).collect()  # a byte for each of top_words at most
         top_level = np.frombuffer(b"".join(bytes(r.levels) for r in sorted(got, key=lambda r: r.segment)), np.uint8).astype(np.int64)
-    model = spark.sparkContext.broadcast((top_word, top_n, top_level[back], bloom))
+    # Arrays and numbers only: what is broadcast is pickled by reference, and workers may not have the package.
+    model = spark.sparkContext.broadcast((top_word, top_n, top_level[back], (bloom.bits, bloom.segments, bloom.hashes) if whole else None))
     floor = np.log10(n_tokens + 0.5 * (n_words + 1))
 
     def lookup(tokens):
@@ -400,20 +405,20 @@ def score_documents(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, top
     names = [x.split()[0] for x in SCORED.split(", ")]
 
     def score(batches):
-        hasher = WordHasher(lower=True)
+        hasher, held = WordHasher(lower=True), LogFilter(*model.value[3])
         for batch in batches:
             for first, part in text_parts(batch.column(2)):
                 stream = token_stream(hasher, part)
                 keys = probes(*stream[:2])
-                yield pa.RecordBatch.from_arrays(score_part(batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), stream, keys, model.value[3].levels(keys)), names=names)
+                yield pa.RecordBatch.from_arrays(score_part(batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), stream, keys, held.levels(keys)), names=names)
 
     hashers = []
 
     def score_block(texts: pa.Table, levels: pa.Table) -> pa.Table:
-        texts = texts.sort_by("place").combine_chunks()
+        texts = pa.ipc.open_stream(texts.column("rows")[0].as_buffer()).read_all().combine_chunks()
         if not hashers:
             hashers.append(WordHasher(lower=True))
-        stream = token_stream(hashers[0], [x or b"" for x in texts.column("text").cast(pa.large_binary()).to_pylist()])
+        stream = token_stream(hashers[0], texts.column("text").to_pylist())
         levels = np.frombuffer(b"".join(levels.sort_by("segment").column("levels").to_pylist()), np.uint8).astype(np.int64)
         keys = probes(*stream[:2])
         if len(keys) != len(levels):
