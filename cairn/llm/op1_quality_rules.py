@@ -144,7 +144,8 @@ def host_quality(docs: DataFrame, host: str = "source", limit: float = HOST_LIMI
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_quality(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source")
+    worst = F.greatest(*(F.col(f"rate_{name}") for name in rule_failures()))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", F.round(worst, 6).alias("host_rate"))
 
 
 #: DuckDB: base counts, rules, the moments of the host rates, and the verdicts.
@@ -164,7 +165,7 @@ h AS (SELECT source, count(*)::DOUBLE AS n, unnest([1, 2, 3, 4]) AS r, unnest([s
 m AS (SELECT r, sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) AS second, count(*) / sum(n) AS per FROM h GROUP BY r),
 v AS (SELECT r, mean, second - mean * mean - mean * (1 - mean) * per AS between FROM m),
 p AS (SELECT r, mean, CASE WHEN between > 0 AND mean > 0 AND mean < 1 THEN least(greatest(mean * (1 - mean) / between - 1, 1.0), 1000.0) ELSE 1000.0 END AS weight FROM v),
-k AS (SELECT source, max((k + mean * weight) / (n + weight)) <= 0.6 AS host_kept FROM h JOIN p USING (r) GROUP BY source)
+k AS (SELECT source, max((k + mean * weight) / (n + weight)) AS rate FROM h JOIN p USING (r) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1 = 1 OR f2 = 1) AS base_failed,
-       (f1 = 0 AND f2 = 0 AND host_kept) AS kept, f.source FROM f JOIN k ON f.source IS NOT DISTINCT FROM k.source
+       (f1 = 0 AND f2 = 0 AND rate <= 0.6) AS kept, f.source, round(rate, 6) AS host_rate FROM f JOIN k ON f.source IS NOT DISTINCT FROM k.source
 """
