@@ -111,6 +111,20 @@ def merge(entities: DataFrame, aliases: DataFrame, mentions: DataFrame, primary:
     return entities.filter(F.col("key") != two), new_aliases, new_mentions
 
 
+def link_note(entities: DataFrame, aliases: DataFrame, mentions: DataFrame, path: str, name: str) -> DataFrame:
+    """Mentions with one of the named entity in a note, with confidence 1, unless its first chunk mentions it already."""
+    named = resolve_names(entities, aliases, entities.sparkSession.sql("SELECT :n AS name", {"n": name})).filter("key IS NOT NULL")
+    new = named.select("key", F.lit(path).alias("path"), F.lit(0).alias("chunk_idx"), F.lit("").alias("context"), F.lit(1.0).alias("confidence"))
+    return mentions.unionByName(new.join(mentions.select("key", "path", "chunk_idx"), ["key", "path", "chunk_idx"], "left_anti"))
+
+
+def summaries(extracted: DataFrame, provider_summary, notes: DataFrame) -> DataFrame:
+    """(path, summary) of notes: the one within a kept answer (path, response), else the provider's of the note's first 3000 characters.  provider_summary: Column -> Column."""
+    known = extracted.select("path", F.nullif(F.trim(parse_extraction(F.col("response"))["summary"]), F.lit("")).alias("known"))
+    rows = notes.select("path", "content").join(known, "path", "left")
+    return rows.select("path", F.coalesce("known", provider_summary(F.substring("content", 1, 3000))).alias("summary")).filter("summary <> ''")
+
+
 def change_type(entities: DataFrame, name: str, kind: str) -> DataFrame:
     return entities.withColumn("type", F.when(F.col("key") == entity_key(F.lit(name)), valid_type(F.lit(kind))).otherwise(F.col("type")))
 

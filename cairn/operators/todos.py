@@ -171,3 +171,25 @@ def valid_split(answer: Column, task: Column) -> Column:
     """A model's list of parts (JSON), or the task itself."""
     parts = F.filter(F.from_json(F.regexp_extract(answer, r"(?s)(\[.*\])", 1), "array<string>"), lambda p: F.trim(p) != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(task))
+
+
+def add_from_text(todos: DataFrame, text: str, answer, today: str, project: str = "General") -> DataFrame:
+    """Todos with those that a model makes of a plain text: parts, priority and due date.  answer: Column -> Column."""
+    asked = lambda what: answer(F.lit(f"{what} of this task: {text}"))
+    after = todos.filter(F.col("project") == project).agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("last"))
+    made = after.select("last", valid_priority(asked("Priority (high, medium, low)")).alias("priority"), valid_date(asked("Due date (YYYY-MM-DD)"), today).alias("due"), F.posexplode(valid_split(asked("Parts (JSON list)"), F.lit(text))).alias("at", "task"))
+    new = made.withColumns({"status": F.lit("pending"), "tags": F.array().cast("array<string>"), "project": F.lit(project), "ordinal": (F.col("last") + F.col("at") + 1).cast("int")})
+    new = new.withColumn("id", F.substring(F.sha2(F.concat_ws("|", "project", "task", F.col("ordinal").cast("string")), 256), 1, 8))
+    return todos.unionByName(new.select(*todos.columns))
+
+
+def overdue_summary(todos: DataFrame, today: str, answer) -> DataFrame:
+    """One row: the number of overdue todos, and what a model says of them (a task list is edited by people and small)."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("due", "task"))), lambda s: F.concat(s["due"], F.lit(" "), s["task"]))
+    late = todos.filter(is_overdue(today)).agg(F.count("*").alias("overdue"), F.array_join(lines, "\n").alias("lines"))
+    return late.select("overdue", F.when(F.col("overdue") == 0, "nothing is overdue").otherwise(answer(F.concat(F.lit("Overdue tasks:\n"), "lines"))).alias("summary"))
+
+
+def ask(todos: DataFrame, question: str, today: str, answer) -> DataFrame:
+    """A model's answer to a question about the whole list."""
+    return render_file(todos, today).select(answer(F.concat(F.lit(question + "\n\n"), "content")).alias("answer"))

@@ -3,12 +3,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.functions import vectors as vx
 
 #: Vectors of one block in all-pairs comparisons.
 BLOCK = 1024
+#: Numbers of the query vectors that are sent to all tasks at once (32 MB).
+QUERY_NUMBERS = 1 << 22
 
 
 def nearest(table: DataFrame, query: list[float], n: int, id_col: str = "id", where: Column | None = None) -> DataFrame:
@@ -18,15 +20,31 @@ def nearest(table: DataFrame, query: list[float], n: int, id_col: str = "id", wh
 
 
 def nearest_many(table: DataFrame, queries: DataFrame, n: int, id_col: str = "id", query_col: str = "query_id") -> DataFrame:
-    """For each of a bounded number of queries (query_id, embedding), its n nearest rows of the table.
+    """For each query (query_id, embedding), its n nearest rows of the table.
 
-    The queries are sent to the table's blocks, each block keeps n candidates
-    for each query, and the candidates are ranked: no pair is shuffled that
-    isn't among the n best of its block.
+    Queries go to the table's blocks in rounds of QUERY_NUMBERS numbers at most,
+    so what is sent at once doesn't grow with their number.  Each block keeps
+    n candidates for each query, and the candidates are ranked: no pair is
+    shuffled that isn't among the n best of its block.
     """
-    asked = [(r[0], [float(x) for x in r[1]]) for r in queries.select(query_col, "embedding").collect()]
-    ids, matrix = [a[0] for a in asked], np.array([a[1] for a in asked], float)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), vx.TINY) if len(asked) else matrix
+    kinds = {f.name: f.dataType.simpleString() for f in [*table.schema.fields, *queries.schema.fields]}
+    schema = f"{query_col} {kinds[query_col]}, {id_col} {kinds[id_col]}, cosine double"
+    numbers = queries.agg(F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0)).alias("n")).head().n
+    rounds = max(1, -(-numbers // QUERY_NUMBERS))
+    found = None
+    for k in range(rounds):
+        some = queries.filter(F.pmod(F.xxhash64(query_col), F.lit(rounds)) == k) if rounds > 1 else queries
+        asked = some.select(query_col, "embedding").toArrow()  # QUERY_NUMBERS numbers, or about that
+        matrix = np.array(asked.column(1).to_pylist(), float)
+        part = table.select(id_col, "embedding").mapInArrow(_best(asked.column(0).to_pylist(), matrix, n, query_col, id_col), schema)
+        found = part if found is None else found.union(part)
+    rank = Window.partitionBy(query_col).orderBy(F.desc("cosine"), id_col)
+    return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)
+
+
+def _best(ids: list, matrix: np.ndarray, n: int, query_col: str, id_col: str):
+    """A function that gives the n best rows of each batch for each query."""
+    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), vx.TINY) if len(ids) else matrix
 
     def best(batches):
         for batch in batches:
@@ -39,12 +57,7 @@ def nearest_many(table: DataFrame, queries: DataFrame, n: int, id_col: str = "id
             top = np.stack([np.lexsort((rows, -line))[:k] for line in near])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids), k)), pa.array(rows[top].ravel()), pa.array(np.take_along_axis(near, top, 1).ravel())], names=[query_col, id_col, "cosine"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in [*table.schema.fields, *queries.schema.fields]}
-    found = table.select(id_col, "embedding").mapInArrow(best, f"{query_col} {kinds[query_col]}, {id_col} {kinds[id_col]}, cosine double")
-    from pyspark.sql import Window
-
-    rank = Window.partitionBy(query_col).orderBy(F.desc("cosine"), id_col)
-    return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)
+    return best
 
 
 def similar_pairs(table: DataFrame, threshold: float, id_col: str = "id", blocks: int | None = None) -> DataFrame:
@@ -76,9 +89,11 @@ def similar_pairs(table: DataFrame, threshold: float, id_col: str = "id", blocks
 
 
 def mean_vectors(chunks: DataFrame, key: str = "path") -> DataFrame:
-    """The element-wise mean vector of each note; positions are averaged before they are gathered."""
-    each = chunks.select(key, F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x")).groupBy(key, "pos").agg(F.avg("x").alias("x"))
-    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("embedding"))
+    """The element-wise mean vector of each note: one mean for each position, so a chunk stays one row."""
+    held = chunks.select(key, F.col("embedding").cast("array<double>").alias("v"))
+    size = held.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("n")).head().n
+    means = F.array(*(F.avg(F.get("v", F.lit(i))) for i in range(size))).cast("array<double>")
+    return held.filter(F.size("v") > 0).groupBy(key).agg(F.array_compact(means).alias("embedding"))
 
 
 def first_chunks(chunks: DataFrame) -> DataFrame:

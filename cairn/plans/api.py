@@ -243,6 +243,18 @@ class Tools:
         self.vault.entities = en.add_manual(self.vault.entities, self._names(name).withColumn("type", F.lit(kind)))
         return self.vault.entities
 
+    def link_note(self, path: str, name: str) -> DataFrame:
+        """The note's entities after it mentions one by hand, with confidence 1."""
+        v = self.vault
+        v.mentions = en.link_note(v.entities, v.aliases, v.mentions, path, name)
+        return self.note_entities(path)
+
+    def clear_entities(self) -> None:
+        """Empties entities, aliases, mentions, relations and timeline."""
+        v = self.vault
+        for table in ("entities", "aliases", "mentions", "relations", "timeline"):
+            setattr(v, table, None if getattr(v, table) is None else getattr(v, table).limit(0))
+
     def merge_entities(self, primary: str, secondary: str) -> None:
         v = self.vault
         v.entities, v.aliases, v.mentions = en.merge(v.entities, v.aliases, v.mentions, primary, secondary)
@@ -293,6 +305,26 @@ class Tools:
         self.vault.todos = td.delete(self.vault.todos, ident)
         return self.vault.todos
 
+    def todo_from_text(self, text: str) -> DataFrame:
+        self.vault.todos = td.add_from_text(self.vault.todos, text, self.vault.provider.answer, self.vault.today)
+        return self.vault.todos
+
+    def todo_overdue_summary(self) -> DataFrame:
+        return td.overdue_summary(self.vault.todos, self.vault.today, self.vault.provider.answer)
+
+    def todo_ask(self, question: str) -> DataFrame:
+        return td.ask(self.vault.todos, question, self.vault.today, self.vault.provider.answer)
+
+    def todo_sync(self, lines: DataFrame) -> DataFrame:
+        """The list as its file's lines (line_no, line) have it."""
+        self.vault.todos = td.parse(lines)
+        return self.vault.todos
+
+    def todo_suggestions(self, task: str) -> DataFrame:
+        """One row: a model's priority, due date and parts for a task, valid at any answer."""
+        answer = lambda what: self.vault.provider.answer(F.lit(f"{what} of this task: {task}"))
+        return self.vault.spark.range(1).select(td.valid_priority(answer("Priority")).alias("priority"), td.valid_date(answer("Due date"), self.vault.today).alias("due"), td.valid_split(answer("Parts"), F.lit(task)).alias("parts"))
+
     def todo_notes(self) -> DataFrame:
         return td.notes_of_todos(self.vault.todos, self.vault.notes)
 

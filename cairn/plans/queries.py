@@ -698,6 +698,22 @@ def missing_entity_edges(spark, d):
     return en.missing_edges(held, m, e)
 
 
+@query(f"WITH {MENTIONS} SELECT path, confidence FROM m WHERE key = 'part 7' AND chunk_idx = 0 UNION ALL SELECT 'by hand', 1.0::DOUBLE")
+def linked_note(spark, d):
+    e, a, m = en.add_mentions(mention_rows(spark, d))
+    for name in ("P-7", "part 7", "nobody"):
+        m = en.link_note(e, a, m, "by hand", name)
+    return m.filter("key = 'part 7' AND chunk_idx = 0").select("path", "confidence")
+
+
+@query("SELECT p_partkey::VARCHAR AS path, CASE WHEN p_partkey % 3 = 0 THEN 'kept ' || p_partkey WHEN p_partkey % 3 = 1 THEN 'new text' END AS summary FROM part WHERE p_partkey % 3 < 2")
+def note_summaries(spark, d):
+    k = F.col("p_partkey")
+    pages = table(spark, d, "part").select(k.cast("string").alias("path"), F.when(k % 3 == 2, "").otherwise("text").alias("content"), k)
+    kept = pages.filter("p_partkey % 3 <> 2").select("path", F.when(k % 3 == 0, F.concat(F.lit('Here: {"entities": [], "summary": " kept '), "path", F.lit('"}'))).otherwise('{"summary": " "}').alias("response"))
+    return en.summaries(kept, lambda text: F.when(text == "", "").otherwise(F.concat(F.lit("new "), text)), pages.drop("p_partkey"))
+
+
 @query("SELECT lower(s_name) AS key, 'sup ' || s_suppkey AS alias FROM supplier UNION ALL SELECT 'part 7', 'seven'")
 def entity_import(spark, d):
     rows = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit("Person").alias("type"), F.array(F.concat(F.lit("sup "), F.col("s_suppkey").cast("string"))).alias("aliases"))
@@ -781,6 +797,18 @@ def todo_notes(spark, d):
     return td.notes_of_todos(td.parse(todo_lines(spark, d)), pages)
 
 
+@query("SELECT task, 'high' AS priority, '2031-02-03' AS due, n AS ordinal, substr(sha256('General|' || task || '|' || n), 1, 8) AS id FROM (VALUES ('one', 1), ('two', 2)) t(task, n)")
+def todo_from_text(spark, d):
+    answer = lambda p: F.when(p.startswith("Priority"), "It is HIGH.").when(p.startswith("Due"), "by 2031-02-03").otherwise('Yes: ["one", " ", "two"].')
+    t = td.add_from_text(td.parse(todo_lines(spark, d)), "one and two", answer, TODAY)
+    return t.filter("project = 'General'").select("task", "priority", "due", "ordinal", "id")
+
+
+@query(f"WITH {_TODOS}, l AS (SELECT due || ' order ' || o_orderkey || CASE WHEN blocked THEN ' blocked' ELSE '' END AS line, due, 'order ' || o_orderkey || CASE WHEN blocked THEN ' blocked' ELSE '' END AS task FROM t WHERE NOT done AND due < '{TODAY}') SELECT count(*) AS overdue, md5('Overdue tasks:' || chr(10) || string_agg(line, chr(10) ORDER BY due, task)) AS summary FROM l")
+def todo_overdue_summary(spark, d):
+    return td.overdue_summary(td.parse(todo_lines(spark, d)), TODAY, F.md5)
+
+
 @query("SELECT ['failed', 'skipped', 'unchanged', 'indexed'][doc_id % 4 + 1] AS status, count(*) AS notes FROM documents GROUP BY 1")
 def run_status(spark, d):
     long = F.concat(F.repeat(F.lit("word "), 30), F.col("doc_id").cast("string"))

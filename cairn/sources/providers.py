@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from cairn.functions.text import tokenize
+from cairn.functions.text import content_hash, tokenize
 from cairn.functions.vectors import hashed_embedding
+from cairn.lineage import cut
 
 ATTEMPTS, WAIT = 2, 2.0
 
@@ -102,6 +103,37 @@ class CallableProvider:
         return {"provider": "callable", "embed": self.is_available(), "chat": self.is_available()}
 
 
+def prompt(text: Column, think: bool = True) -> Column:
+    """A chat model's prompt; without thinking it begins with the switch that such models read."""
+    return text if think else F.concat(F.lit("/no_think "), text)
+
+
+class EmbeddingCache:
+    """Embeddings by content hash, kept as a table; switching the provider empties it."""
+
+    def __init__(self, provider, table: DataFrame | None = None):
+        self.provider, self.table = provider, table
+
+    def embed(self, rows: DataFrame, column: str = "document") -> DataFrame:
+        """rows with an embedding; only texts that aren't kept are embedded, each once, and are kept then."""
+        hashed = rows.withColumn("_hash", content_hash(F.col(column)))
+        texts = hashed.select("_hash", F.col(column).alias("_text")).dropDuplicates(["_hash"])
+        texts = texts if self.table is None else texts.join(self.table, "_hash", "left_anti")
+        new = texts.select("_hash", self.provider.embed(F.col("_text")).alias("embedding"))
+        self.table = cut(new if self.table is None else self.table.union(new))
+        return hashed.join(self.table, "_hash", "left").drop("_hash")
+
+    def clear(self) -> None:
+        self.table = None
+
+    def switch(self, provider) -> None:
+        self.provider = provider
+        self.clear()
+
+    def info(self) -> dict:
+        return {"provider": self.provider.check_health()["provider"], "texts": 0 if self.table is None else self.table.count()}
+
+
 _REGISTRY: dict[str, Callable] = {"local": LocalProvider}
 
 

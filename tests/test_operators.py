@@ -135,6 +135,32 @@ def test_fuzzy_match_equals_difflib(spark):
         assert got[x] == want
 
 
+def test_embedding_cache(spark):
+    from cairn.sources.providers import EmbeddingCache, LocalProvider, prompt
+
+    rows = spark.createDataFrame([(1, "one text"), (2, "one text"), (3, "other text")], "k int, document string")
+    cache = EmbeddingCache(LocalProvider(8))
+    first = {r.k: r.embedding for r in cache.embed(rows).collect()}
+    assert first[1] == first[2] != first[3] and cache.info() == {"provider": "local", "texts": 2}
+    assert {r.k: r.embedding for r in cache.embed(rows.filter("k > 2")).collect()} == {3: first[3]} and cache.info()["texts"] == 2
+    cache.switch(LocalProvider(4))
+    assert cache.info()["texts"] == 0 and len(cache.embed(rows).head().embedding) == 4
+    assert one(spark, prompt(F.lit("hi"), think=False)) == "/no_think hi" and one(spark, prompt(F.lit("hi"))) == "hi"
+
+
+def test_queries_in_rounds(spark, monkeypatch):
+    """Query vectors sent in many small rounds find the same rows."""
+    import random
+
+    r = random.Random(1)
+    rows = spark.createDataFrame([(i, [r.random() - 0.5 for _ in range(4)]) for i in range(200)], "id long, embedding array<double>")
+    asked = rows.filter("id % 10 = 0").withColumnRenamed("id", "query_id")
+    found = lambda: sorted((x.query_id, x.id, x["rank"]) for x in ve.nearest_many(rows, asked, 3).collect())
+    want = found()
+    monkeypatch.setattr(ve, "QUERY_NUMBERS", 16)
+    assert found() == want and len(want) == 60
+
+
 def test_stream_upserts_run_again(spark, tmp_path):
     """The latest row of a key, deletes as of their time, and the same outcome when a batch is given twice."""
     from cairn.streaming import watch
