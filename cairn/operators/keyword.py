@@ -40,14 +40,18 @@ def scores(indexed: DataFrame, query: str) -> DataFrame:
     asked = term_weights(indexed).join(F.broadcast(terms), "term").crossJoin(F.broadcast(mean)).orderBy("term").collect()  # the query's terms
     if not asked:
         return indexed.select("id", F.lit(0.0).alias("score"))
-    held = F.filter("tokens", lambda t: t.isin([r.term for r in asked]))
-    bounded = indexed.select("id", held.alias("held"), (K1 * (1 - B + B * F.col("length") / asked[0].mean_length)).alias("norm"))
-    score = F.lit(0.0)
-    for r in asked:
-        tf = F.size(F.filter("held", _equals(r.term)))
-        score = score + r.times * r.idf * tf * (K1 + 1) / (tf + F.col("norm"))
-    # With tokens, the norm is positive; without any, no term is held.
-    return bounded.select("id", F.when(F.size("held") > 0, score).otherwise(0.0).alias("score"))
+    terms, mean_length = [r.term for r in asked], asked[0].mean_length
+
+    def of_hits(hits: Column, length: Column) -> Column:
+        score = F.lit(0.0)
+        for r in asked:
+            tf = F.size(F.filter(hits, _equals(r.term)))
+            score = score + r.times * r.idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
+        return F.when(F.size(hits) > 0, score).otherwise(0.0)
+
+    # Arrays of one bind the tokens and the hits, so that a text is cut into tokens once.
+    hits = lambda w: F.array(F.filter(w, lambda t: t.isin(terms)))
+    return indexed.select("id", F.transform(F.array("tokens"), lambda w: F.transform(hits(w), lambda h: of_hits(h, F.size(w)))[0])[0].alias("score"))
 
 
 def _equals(term: str):
