@@ -25,7 +25,11 @@ def heading_sections(text: Column) -> Column:
     its own level or deeper.  What stands before the first has the path ''.
     """
     marked = F.regexp_replace(text, r"(?md)^(#{1,6})\s+(.+)$", "\u0001$1 $2\u0002")
-    parts = F.split(marked, "\u0001")
+    # An array of one binds the parts, so that a text is searched for headings once.
+    return F.transform(F.array(F.split(marked, "\u0001")), _sections)[0]
+
+
+def _sections(parts: Column) -> Column:
     sections = F.transform(F.slice(parts, 2, 1 << 30), lambda p: F.struct(F.substring_index(p, "\u0002", 1).alias("heading"), F.substring_index(p, "\u0002", -1).alias("body")))
     kind = "struct<open: array<struct<level: int, heading: string>>, out: array<struct<heading: string, body: string>>>"
     start = F.from_json(F.lit('{"open": [], "out": []}'), kind)

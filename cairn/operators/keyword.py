@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.functions.text import tokenize
+from cairn.lineage import cut
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -15,14 +16,25 @@ def index(docs: DataFrame, id_col: str = "id", text: Column | None = None) -> Da
     return tokens.withColumn("length", F.size("tokens"))
 
 
-def term_weights(indexed: DataFrame) -> DataFrame:
-    """idf of every term; a negative one becomes FLOOR times the mean over the vocabulary.
+def document_frequencies(indexed: DataFrame) -> DataFrame:
+    """(term, df, length): documents with each term; the row without a term has the number of documents and of their tokens.
 
-    A task counts the documents of its terms before anything is shuffled.
+    One pass over the tokens, written as a table as large as the vocabulary; a
+    task counts the documents of its terms before anything is shuffled.
     """
-    n = indexed.agg(F.count("*").alias("n"))
-    terms = indexed.select(F.explode(F.array_distinct("tokens")).alias("term"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
+    whole = F.array(F.lit(None).cast("string"))
+    marked = indexed.select("length", F.explode(F.concat(whole, F.array_distinct("tokens"))).alias("term"))
+    return cut(marked.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("length"))).alias("length")))
+
+
+def term_weights(indexed: DataFrame) -> DataFrame:
+    """idf of every term; a negative one becomes FLOOR times the mean over the vocabulary."""
+    return _idf(document_frequencies(indexed))
+
+
+def _idf(counts: DataFrame) -> DataFrame:
+    n = counts.filter("term IS NULL").select(F.col("df").alias("n"))
+    df = counts.filter("term IS NOT NULL").crossJoin(F.broadcast(n))  # one row
     raw = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -34,10 +46,10 @@ def scores(indexed: DataFrame, query: str) -> DataFrame:
     The query's terms become one expression over a document's own tokens, so
     no posting leaves its row.
     """
-    spark = indexed.sparkSession
+    spark, counts = indexed.sparkSession, document_frequencies(indexed)
     terms = spark.range(1).select(F.explode(tokenize(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-    mean = indexed.agg(F.avg("length").alias("mean_length"))
-    asked = term_weights(indexed).join(F.broadcast(terms), "term").crossJoin(F.broadcast(mean)).orderBy("term").collect()  # the query's terms
+    mean = counts.filter("term IS NULL").select((F.col("length") / F.col("df")).alias("mean_length"))
+    asked = _idf(counts).join(F.broadcast(terms), "term").crossJoin(F.broadcast(mean)).orderBy("term").collect()  # the query's terms
     if not asked:
         return indexed.select("id", F.lit(0.0).alias("score"))
     terms, mean_length = [r.term for r in asked], asked[0].mean_length

@@ -141,9 +141,9 @@ s AS (SELECT doc_id, source, unnest(['# A', '# A > ## B', '# C']) AS heading, un
 c AS (SELECT doc_id, k, heading, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 500 THEN [0] ELSE range(0, len(w), 400) END) AS s FROM s)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, s) - 1)::INT AS chunk, heading, md5(heading || chr(10) || chr(10) || array_to_string(CASE WHEN len(w) <= 500 THEN w ELSE w[s + 1:s + 500] END, ' ')) AS hash FROM c""")
 def chunk_headings(spark, d):
-    w = tx.words(F.col("text"))
-    page = F.concat(F.lit("# A\n"), F.array_join(F.slice(w, 1, 10), " "), F.lit("\n## B\n"), F.array_join(F.slice(w, 11, 10), " "), F.lit("\n# C\n\n"), F.array_join(w, " "))
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(ch.chunk_sections(page)).alias("chunk", "c"))
+    page = lambda w: F.concat(F.lit("# A\n"), F.array_join(F.slice(w, 1, 10), " "), F.lit("\n## B\n"), F.array_join(F.slice(w, 11, 10), " "), F.lit("\n# C\n\n"), F.array_join(w, " "))
+    pages = F.transform(F.array(tx.words(F.col("text"))), page)[0]
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(ch.chunk_sections(pages)).alias("chunk", "c"))
     return rows.select("doc_id", "chunk", "c.heading", F.md5("c.document").alias("hash"))
 
 
