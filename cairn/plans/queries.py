@@ -275,10 +275,10 @@ def maintained_store(spark, d):
 
 # --- search ------------------------------------------------------------------
 
-def hybrid_sql(n: int = 10) -> str:
-    """CTEs up to hits, for a search of n passages."""
+def hybrid_sql(n: int = 10, vectors: str = "7, 11") -> str:
+    """CTEs up to hits, for a search of n passages by the vectors of these numbers."""
     return f"""WITH {PASSAGES}, d AS (SELECT chunk_id AS id, title || ': ' || document AS text FROM passages), {bm25_sql('d', 'text')},
-v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (7, 11)),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN ({vectors})),
 near AS (SELECT vec_id, path, chunk, chunk_id, round(1 / (2 - {cosine_sql('embedding', 'v')}), 4) AS sem FROM passages, v QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY 1 - {cosine_sql('embedding', 'v')}, chunk_id) <= {n + 10}),
 sem AS (SELECT chunk_id, max(sem) AS sem FROM near GROUP BY chunk_id),
 top AS (SELECT id AS chunk_id, score FROM bm25 ORDER BY score DESC, id LIMIT {n + 15}),
@@ -875,3 +875,94 @@ def summary_results(spark, d):
     summaries = p.select(F.col("chunk_id").alias("path"), "title", F.col("document").alias("summary"), "embedding")
     results = p.filter("chunk % 2 = 0").select(F.col("chunk_id").alias("path"), "title", F.lit(0.6).alias("similarity_score"), F.lit("x").alias("snippet"))
     return ra.apply_summary_search(results, summaries, query_vector(spark, d), 12, 0.55).select("path", "similarity_score", "is_summary_match")
+
+
+# --- the whole ranker: summaries, entities with their relations, communities and links over sources ---
+
+ASKED = "Who owns Part 7, and p-21?"
+
+
+def source_index(spark, d) -> ra.Index:
+    """Sources as notes: passages, first passages as summaries, parts as entities, a ring of relations; every fifth source links out."""
+    p = passages(spark, d)
+    summaries = p.groupBy("path").agg(F.min_by(F.struct("title", F.col("document").alias("summary"), "embedding"), "chunk").alias("s")).select("path", "s.*")
+    mentions = mention_rows(spark, d).withColumn("path", F.concat(F.lit("src"), F.substring("path", 2, 9).cast("int") % 20))
+    k = (F.col("p_partkey") % 200).cast("int")
+    ring = table(spark, d, "part").select(F.concat(F.lit("Part "), k).alias("source"), F.lit("related_to").alias("type"), F.concat(F.lit("Part "), (k + 1) % 200).alias("target"), F.lit(1.0).alias("confidence"), F.lit("").alias("source_note"))
+    out = spark.range(4).withColumn("i", F.col("id").cast("string"))
+    edges = out.select(F.concat(F.lit("src"), F.col("id") * 5).alias("src"), F.concat(F.lit("ext"), "i").alias("dst")).union(out.select(F.concat(F.lit("ext"), "i"), F.concat(F.lit("far"), "i")))
+    own = p.select("path").distinct().withColumn("community", F.substring("path", 4, 9).cast("long") % 4)
+    return ra.Index(p, summaries, *en.add_mentions(mentions), en.add_relations(ring), edges, own.union(out.select(F.concat(F.lit("ext"), "i"), "id")))
+
+
+def source_pages(spark, d) -> DataFrame:
+    index = source_index(spark, d)
+    return index.summaries.select("path", F.col("summary").alias("content")).union(index.edges.select(F.col("dst").alias("path"), F.lit("outside").alias("content")))
+
+
+#: CTEs of the index above and of the entities that ASKED names: det by path, more for names one relation away.
+SOURCES = f"""sums AS (SELECT path, {cosine_sql('embedding', 'v')} AS c FROM (SELECT * FROM passages QUALIFY row_number() OVER (PARTITION BY path ORDER BY chunk) = 1), (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7)),
+m AS (SELECT 'part ' || (l_partkey % 200) AS key, 'src' || (l_orderkey % 20) AS path, l_linenumber::INT AS chunk_idx, round(max(l_discount), 4) AS confidence FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+own AS (SELECT key, path, max(confidence) AS confidence FROM m GROUP BY key, path), ten AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY key ORDER BY confidence DESC, path) <= 10),
+det AS (SELECT * FROM ten WHERE key IN ('part 7', 'part 21') QUALIFY row_number() OVER (PARTITION BY path ORDER BY key = 'part 7') = 1),
+ring AS (SELECT DISTINCT 'part ' || (p_partkey % 200) AS a, 'part ' || ((p_partkey + 1) % 200) AS b FROM part), ways AS (SELECT a, b FROM ring UNION SELECT b, a FROM ring),
+more AS (SELECT ten.* FROM ten WHERE key IN (SELECT b FROM ways WHERE a IN (SELECT key FROM det)) AND key NOT IN (SELECT key FROM det)),
+link AS (SELECT 'src' || i * 5 AS src, 'ext' || i AS dst FROM range(4) t(i) UNION ALL SELECT 'ext' || i, 'far' || i FROM range(4) t(i)),
+com AS (SELECT DISTINCT path, substr(path, 4)::INT % 4 AS community FROM passages UNION ALL SELECT 'ext' || i, i FROM range(4) t(i))"""
+
+
+@query(f"""WITH {PASSAGES}, {SOURCES}, v AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7),
+sem AS (SELECT path, 1 / (2 - {cosine_sql('embedding', 'v')}) AS s FROM passages, v ORDER BY 1 - {cosine_sql('embedding', 'v')}, chunk_id LIMIT 48),
+near AS (SELECT path, round(1 / (2 - c), 4) AS s FROM sums ORDER BY 1 - c, path LIMIT 16),
+base AS (SELECT path, s * 0.5::DOUBLE AS s, 'semantic' AS signal FROM sem UNION ALL SELECT path, s * 0.5::DOUBLE, 'summary' FROM near WHERE s >= 0.5 UNION ALL SELECT path, confidence * 0.25::DOUBLE, 'entity' FROM (FROM det UNION ALL FROM more)),
+lead AS (SELECT path FROM base WHERE signal = 'semantic' GROUP BY path ORDER BY sum(s) DESC, path LIMIT 3),
+boost AS (SELECT path, 0.125::DOUBLE AS s, 'community' AS signal FROM com WHERE path IN (SELECT path FROM base) AND community IN (SELECT community FROM com WHERE path IN (FROM lead))),
+one AS (SELECT DISTINCT dst AS path FROM link WHERE src IN (SELECT path FROM base)), two AS (SELECT DISTINCT dst AS path FROM link WHERE src IN (FROM one) AND dst NOT IN (FROM one)),
+graph AS (SELECT path, s, 'graph' AS signal FROM (SELECT path, 0.25::DOUBLE AS s FROM one UNION ALL SELECT path, 0.125::DOUBLE FROM two) WHERE path NOT IN (SELECT path FROM base)),
+t AS (SELECT path, sum(s) AS score, array_to_string(list_sort(list_distinct(list(signal))), ',') AS matched_by FROM (FROM base UNION ALL FROM boost UNION ALL FROM graph) GROUP BY path ORDER BY 2 DESC, 1 LIMIT 32)
+SELECT path, round(score, 4) AS similarity_score, matched_by FROM t WHERE score >= 0.2 ORDER BY 2 DESC, 1 LIMIT 16""")
+def ranked_entities(spark, d):
+    weights = ra.Weights(semantic=2.0, entity=1.0, graph=1.0, keyword=0.0)
+    found = ra.ranked_search(source_index(spark, d), ASKED, [query_vector(spark, d)], 16, weights, depth=2, min_similarity=0.2, summary_threshold=0.5, expand=True)
+    return found.select("path", "similarity_score", F.array_join("matched_by", ",").alias("matched_by"))
+
+
+@query(f"""WITH {PASSAGES}, {SOURCES}, seed AS (SELECT path, round(1 / (2 - c), 4) AS s, 'summary' AS signal FROM sums UNION ALL SELECT path, confidence, 'entity' FROM det UNION ALL SELECT path, 0.8::DOUBLE * confidence, 'relation' FROM more),
+total AS (SELECT path, sum(s) AS s FROM seed GROUP BY path),
+members AS (SELECT o.path, 0.6::DOUBLE * max(s) AS s, 'community' AS signal FROM total JOIN com USING (path) JOIN com o USING (community) WHERE o.path NOT IN (SELECT path FROM total) GROUP BY o.path),
+t AS (SELECT path, sum(s) AS score, array_to_string(list_sort(list_distinct(list(signal))), ',') AS matched_by FROM (FROM seed UNION ALL FROM members) GROUP BY path)
+SELECT path, round(score, 4) AS similarity_score, matched_by FROM t WHERE score >= 0.3 ORDER BY 2 DESC, 1 LIMIT 24""")
+def composite_search(spark, d):
+    found = ra.composite_search(source_index(spark, d), ASKED, query_vector(spark, d), 24, 3, 0.3)
+    return found.select("path", "similarity_score", F.array_join("matched_by", ",").alias("matched_by"))
+
+
+@query(f"""{hybrid_sql(10, "7")}, h AS (SELECT * FROM hits ORDER BY similarity_score DESC, path, matched_chunk_idx LIMIT 10), best AS (SELECT path, max(similarity_score) AS s FROM h WHERE path <> 'src5' GROUP BY path),
+l AS (SELECT 'ext1' AS path) SELECT path, round(coalesce(s * 0.7::DOUBLE, 0) + CASE WHEN l.path IS NULL THEN 0 ELSE 0.3::DOUBLE END, 4) AS similarity_score, l.path IS NOT NULL AS linked FROM best FULL JOIN l USING (path) ORDER BY 2 DESC, 1 LIMIT 5""")
+def related_notes(spark, d):
+    found = ra.related_notes(source_index(spark, d), "src5", TERMS, query_vector(spark, d), 5)
+    return found.select("path", "similarity_score", F.col("is_graph_connected").alias("linked"))
+
+
+@query(f"""{hybrid_sql(24, "7").replace(bm25_sql('d', 'text'), bm25_sql('d', 'text', ASKED))}, {SOURCES}, h AS (SELECT path, similarity_score AS s FROM hits ORDER BY similarity_score DESC, path, matched_chunk_idx LIMIT 24),
+e AS (SELECT path, max(round(confidence * 0.9::DOUBLE, 4)) AS e FROM det GROUP BY path), r AS (SELECT path, greatest(coalesce(s, 0), coalesce(e, 0)) AS s FROM h FULL JOIN e USING (path)),
+g AS (FROM r UNION ALL SELECT DISTINCT dst, 0.2::DOUBLE FROM link WHERE src IN (SELECT path FROM r) AND dst NOT IN (SELECT path FROM r)),
+n AS (SELECT path, round(1 / (2 - c), 4) AS n FROM sums ORDER BY 1 - c, path LIMIT 12), f AS (FROM n WHERE n >= 0.7)
+SELECT path, max(greatest(coalesce(s, 0), coalesce(n, 0))) AS similarity_score, count(*) AS chunk_count FROM g FULL JOIN f USING (path) GROUP BY path ORDER BY 2 DESC, 1 LIMIT 12""")
+def subject_notes(spark, d):
+    found = ra.read_by_subject(source_index(spark, d), source_pages(spark, d), ASKED, [query_vector(spark, d)], 12)
+    return found.select("path", "similarity_score", "chunk_count")
+
+
+@query(f"""WITH {NOTES}, r AS (SELECT path, content, doc_id, list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '') AS w FROM notes ORDER BY doc_id % 10 DESC, path LIMIT 15)
+SELECT path, md5(CASE WHEN len(w) > 3000 THEN array_to_string(w[1:3000], ' ') || chr(10) || chr(10) || '[truncated]' ELSE content END) AS content, CASE WHEN doc_id % 20 = 9 THEN 'about ' || doc_id END AS summary FROM r""")
+def retrieved_notes(spark, d):
+    rows = notes(spark, d)
+    ranked = rows.select("path", (F.col("doc_id") % 10 / 10.0).alias("similarity_score"))
+    about = rows.filter("doc_id % 20 = 9").select("path", F.concat(F.lit("about "), "doc_id").alias("summary"))
+    return ra.retrieve(ranked, rows, about, 15).select("path", F.md5("content").alias("content"), "summary")
+
+
+@query(f"WITH {NOTES} SELECT path, doc_id::VARCHAR AS title FROM notes")
+def result_titles(spark, d):
+    return ev.titles(notes(spark, d).select("path"))
