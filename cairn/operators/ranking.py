@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.functions import vectors as vx
 from cairn.functions.text import tokenize, truncate_snippet, truncate_to_budget
+from cairn.lineage import cut
 from cairn.operators import entities as en, graph as gr, keyword as kw, vector as ve
 
 SIGNALS = ("semantic", "entity", "graph", "keyword")
@@ -152,6 +153,8 @@ def signal_rows(index: Index, query: str, vectors: list[list[float]], n: int, we
         parts.append(_signal(hits, "keyword", F.col("score") * w["keyword"], F.col("title"), F.col("document"), F.col("chunk")))
     if index.entities is not None and w.get("entity"):
         found = detect_entities(index.entities, index.aliases, index.mentions, query)
+        if expand:
+            found = cut(found)
         rows = found.select("path", "confidence", "context")
         names = None
         if entity_names:
@@ -193,7 +196,8 @@ def blend(rows: DataFrame, n: int, min_similarity: float = 0.0) -> DataFrame:
 
 def ranked_search(index: Index, query: str, vectors: list[list[float]], n: int = 10, weights: Weights = Weights(), depth: int = 1, min_similarity: float = 0.0, summary_threshold: float = 0.7, exclude: Column | None = None, entity_names: list[str] | None = None, expand: bool = False, boost: float = 0.5) -> DataFrame:
     """The ranker: summary, semantic, keyword and entity signals, community boost, graph neighbours, blended."""
-    rows = signal_rows(index, query, vectors, n, weights, summary_threshold, exclude, entity_names, expand)
+    # A few rows for each signal, read by the boost, the links and the blend: the searches behind them run once.
+    rows = cut(signal_rows(index, query, vectors, n, weights, summary_threshold, exclude, entity_names, expand))
     extra = []
     if index.communities is not None and boost > 0:
         extra.append(community_boost(rows, index.communities, weights, boost))
@@ -209,12 +213,13 @@ def composite_search(index: Index, query: str, vector: list[float], n: int = 10,
     near = ve.summary_search(index.summaries, vector, 3 * n)
     rows = _signal(near, "summary", F.col("similarity"), F.col("title"), F.col("summary"))
     if depth >= 2 and index.entities is not None:
-        found = detect_entities(index.entities, index.aliases, index.mentions, query)
+        found = cut(detect_entities(index.entities, index.aliases, index.mentions, query))
         rows = rows.unionByName(_signal(found, "entity", F.col("confidence"), text=F.col("context")))
         if index.relations is not None:
             more = en.search(index.entities, index.aliases, index.mentions, expand_entities(index.relations, found))
             rows = rows.unionByName(_signal(more, "relation", 0.8 * F.col("confidence"), text=F.col("context")))
     if depth >= 3 and index.communities is not None:
+        rows = cut(rows)
         seeds = rows.groupBy("path").agg(F.sum("score").alias("seed_score"))
         near = gr.community_neighbors(index.communities, seeds).join(seeds.select(F.col("path").alias("seed"), "seed_score"), "seed").join(seeds.select("path"), "path", "left_anti")
         first = near.groupBy("path").agg(F.max("seed_score").alias("seed_score"))
