@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.functions import vectors as vx
+from cairn.lineage import cut
 
 #: Vectors of one block in all-pairs comparisons.
 BLOCK = 1024
@@ -124,6 +125,17 @@ def upsert_summaries(summaries: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def embed_distinct(table: DataFrame, embed, column: str = "document") -> DataFrame:
-    """``table`` with an embedding: each distinct text is embedded once.  embed: Column -> Column."""
-    texts = table.select(column).distinct().withColumn("embedding", embed(F.col(column)))
+    """``table`` with an embedding: each distinct text is embedded once.  embed: Column -> Column.
+
+    The embedded texts are written before they are joined, so that nothing behind the
+    join is pushed into the embedding again; they are broadcast if they are few.
+    """
+    texts = cut(table.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("embedding", embed(F.col(column))))
+    if texts.count() * _width(texts) <= QUERY_NUMBERS:
+        return table.join(F.broadcast(texts), column, "left")
     return table.join(texts, column, "left")
+
+
+def _width(table: DataFrame) -> int:
+    """The most numbers in a vector of the table, 1 at least."""
+    return max(1, table.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("n")).head().n)

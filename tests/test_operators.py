@@ -148,6 +148,27 @@ def test_embedding_cache(spark):
     assert one(spark, prompt(F.lit("hi"), think=False)) == "/no_think hi" and one(spark, prompt(F.lit("hi"))) == "hi"
 
 
+def test_a_token_is_hashed_once(spark):
+    """The embedding is that of a plain loop, and its expression hashes each token at one place."""
+    import hashlib
+    import math
+
+    words = ["ring", "bolt", "ring", "large", *(f"w{i}" for i in range(40))]
+    sums = [0.0] * 64
+    for w in words:
+        h = hashlib.md5(w.encode()).hexdigest()
+        sums[int(h[:7], 16) % 64] += 1.0 if int(h[7], 16) < 8 else -1.0
+    length = math.sqrt(sum(x * x for x in sums))
+    rows = spark.createDataFrame([(words,)], "w array<string>").select(vx.hashed_embedding(F.col("w")).alias("v"))
+    assert rows.head().v == pytest.approx([x / length for x in sums])
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("md5") == 1
+    texts = spark.createDataFrame([("a b",), ("c",), (None,), ("a b",)], "document string")
+    found = ve.embed_distinct(texts, lambda t: vx.hashed_embedding(F.split(t, " "), 4))
+    assert [r.embedding is None for r in found.orderBy("document").collect()] == [True, False, False, False]
+    behind = found.select("document", F.explode("embedding").alias("x"))
+    assert "md5" not in behind._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_queries_in_rounds(spark, monkeypatch):
     """Query vectors sent in many small rounds find the same rows."""
     import random
