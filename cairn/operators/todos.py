@@ -137,7 +137,9 @@ def estimate_completion(todos: DataFrame, today: str, days: int = 30) -> DataFra
     done = F.count_if(F.col("status") == "completed")
     rows = todos.groupBy("project").agg((F.count("*") - done).alias("pending"), done.alias("completed"), F.count("*").alias("total"))
     ahead = F.when(F.col("completed") == 0, F.lit(days)).otherwise((F.col("pending") / (F.col("completed") / F.col("total"))).cast("int"))
-    return rows.select("project", "pending", F.when(F.col("pending") > 0, F.date_add(F.to_date(F.lit(today)), ahead)).cast("string").alias("estimate"))
+    date = F.date_add(F.to_date(F.lit(today)), ahead).cast("string")
+    # Years of more than four digits are cast with a plus sign, which ISO text doesn't have elsewhere.
+    return rows.select("project", "pending", F.when(F.col("pending") > 0, F.ltrim(date, F.lit("+"))).alias("estimate"))
 
 
 def notes_of_todos(todos: DataFrame, notes: DataFrame) -> DataFrame:

@@ -291,6 +291,12 @@ def test_todos(spark):
     assert one(spark, td.valid_split(F.lit('ok ["a", "b"]'), F.lit("t"))) == ["a", "b"] and one(spark, td.valid_split(F.lit("no"), F.lit("t"))) == ["t"]
 
 
+def test_estimates_beyond_the_year_9999(spark):
+    rows = [(f"t{i}", "completed" if i < 3 else "pending", "P") for i in range(3000)]
+    todos = spark.createDataFrame(rows, "id string, status string, project string")
+    assert td.estimate_completion(todos, "1997-06-15").head().estimate == "10202-12-18"
+
+
 def test_evaluation(spark):
     got = spark.createDataFrame([("q", i + 1, x) for i, x in enumerate("XAB")], "query string, rank int, title string")
     want = spark.createDataFrame([("q", "a")], "query string, title string")
