@@ -182,6 +182,40 @@ def test_queries_in_rounds(spark, monkeypatch):
     assert found() == want and len(want) == 60
 
 
+def test_searches_in_tiles(spark, monkeypatch):
+    """Small tiles, batches and rounds find the rows of a plain loop, copies by their id."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    v = r.normal(size=(150, 5))
+    v[100:] = v[:50]  # copies
+    rows = spark.createDataFrame([(i, [float(x) for x in e]) for i, e in enumerate(v)], "id long, embedding array<double>")
+    asked = rows.filter("id % 7 = 0").withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(ve, "TILE", 8)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (u @ u.T).round(9)
+    want = {q: [int(i) for i in np.lexsort((np.arange(150), -near[q]))[:4]] for q in range(0, 150, 7)}
+    found = {}
+    for x in ve.nearest_many(rows, asked, 4).orderBy("query_id", "rank").collect():
+        found.setdefault(x.query_id, []).append(x.id)
+    assert found == want
+    pairs = {(a, b) for a in range(150) for b in range(a + 1, 150) if near[a, b] >= 0.8}
+    for blocks in (1, 3):
+        assert {(x.a, x.b) for x in ve.similar_pairs(rows, 0.8, blocks=blocks).collect()} == pairs
+        links = ve.similar_links(rows, 0.8, blocks=blocks)
+        few = [(x.a, x.b) for x in links.collect()]
+        assert set(few) <= pairs and (blocks > 1 or len(few) < 150)
+        whole = lambda e: {(x.path, x.component) for x in gr.linked_components(spark.createDataFrame(list(e), "src long, dst long")).collect()}
+        assert whole(few) == whole(pairs)
+
+
+def test_a_vector_is_shipped_for_few_blocks(spark):
+    """Rows dealt to blocks don't grow with the square of the vectors."""
+    rows = spark.range(40000).select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    plan = ve.similar_pairs(rows, 2.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(xxhash64(id" in plan and ", 16)" in plan
+
+
 def test_stream_upserts_run_again(spark, tmp_path):
     """The latest row of a key, deletes as of their time, and the same outcome when a batch is given twice."""
     from cairn.streaming import watch
