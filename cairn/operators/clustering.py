@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cairn.functions import vectors as vx
 from cairn.lineage import cut
 from cairn.operators.graph import components
-from cairn.operators.vector import mean_vectors, similar_pairs
+from cairn.operators.vector import mean_vectors, similar_links
 
 
 def clusters(chunks: DataFrame, threshold: float = 0.6, min_size: int = 1) -> DataFrame:
     """(path, cluster, size): clusters below min_size fall apart into single notes."""
     means = cut(mean_vectors(chunks))
-    pairs = similar_pairs(means, threshold, "path").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    pairs = similar_links(means, threshold, "path").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = components(means, pairs)
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
     small = F.col("size") < min_size
@@ -24,15 +24,15 @@ def _weight(means: DataFrame, key=None) -> DataFrame:
     """(path, weight): cosine summed over all notes, or over those of the same cluster, as a product with the sum of unit vectors."""
     unit = means.withColumn("u", vx.unit(F.col("embedding")))
     keys = [key] if key else []
-    each = unit.select(*keys, F.posexplode("u").alias("pos", "x")).groupBy(*keys, "pos").agg(F.sum("x").alias("x"))
-    total = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("total"))
+    size = means.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("n")).head().n
+    total = unit.groupBy(*keys).agg(F.array_compact(F.array(*(F.sum(F.get("u", F.lit(i))) for i in range(size))).cast("array<double>")).alias("total"))
     joined = unit.join(total, key) if key else unit.crossJoin(F.broadcast(total))  # one vector
     return joined.select("path", *keys, vx.dot(F.col("u"), F.col("total")).alias("weight"))
 
 
 def describe(chunks: DataFrame, found: DataFrame, members: int = 5) -> DataFrame:
     """One row for each cluster: size, central_note (nearest to all notes), label (nearest within, and first members)."""
-    means = cut(mean_vectors(chunks))
+    means, found = cut(mean_vectors(chunks)), cut(found)
     everywhere = _weight(means).join(found, "path").groupBy("cluster").agg(F.max_by("path", F.struct("weight", "path")).alias("central_note"), F.first("size").alias("size"))
     inside = _weight(means.join(found.select("path", "cluster"), "path"), "cluster").groupBy("cluster").agg(F.max_by("path", F.struct("weight", "path")).alias("central"))
     first = found.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("path"))).filter(F.col("r") <= members)
