@@ -1,6 +1,8 @@
 """YAML frontmatter.  The block is split off by column expressions; only YAML itself is read in Python, in batches."""
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -30,14 +32,72 @@ def _strings(value) -> list[str]:
     return [str(v) for v in value] if isinstance(value, list) else []
 
 
-def _load(text: str | None):
+#: Names and values that are text by YAML's rules and are written as they stand: they begin with a letter and hold no sign that YAML reads.
+_NAME, _PLAIN = "[A-Za-z][A-Za-z0-9_]{0,49}", "[A-Za-z][A-Za-z0-9_]*(?:[ /-][A-Za-z0-9_]+)*"
+_SIMPLE = re.compile(rf"\n?(?:{_NAME}:(?: {_PLAIN}\n|\n(?:(?:- {_PLAIN}\n)+|(?:  - {_PLAIN}\n)+)))+")
+_ENTRY = re.compile(rf"({_NAME}):(?: ({_PLAIN})\n|\n((?: *- {_PLAIN}\n)+))")
+_TEXT_ITEM = re.compile(rf"- ({_PLAIN})\n")
+_IS_NAME, _IS_PLAIN = re.compile(_NAME), re.compile(_PLAIN)
+#: The words among them that YAML reads as truth values or null.
+_READ = frozenset(("yes", "no", "true", "false", "on", "off", "null"))
+
+
+def _is_text(word: str, pattern: re.Pattern) -> bool:
+    return bool(pattern.fullmatch(word)) and word.lower() not in _READ
+
+
+def _simple(text: str) -> dict | None:
+    """What YAML gives for a block of plain text values and lists of them; None for any other block."""
+    if not _SIMPLE.fullmatch(text):
+        return None
+    found = {}
+    for key, value, items in _ENTRY.findall(text):
+        held = _TEXT_ITEM.findall(items) if items else value
+        if key.lower() in _READ or any(x.lower() in _READ for x in (held if items else (held,))):
+            return None
+        found[key] = held
+    return found
+
+
+def _read(text: str | None) -> tuple[bool, object]:
+    """Whether a block is YAML, and its value."""
     import yaml
 
+    found = _simple(text or "")
+    if found is not None:
+        return True, found
     try:
-        found = yaml.safe_load(text) if text else {}
+        return True, yaml.safe_load(text or "")
     except yaml.YAMLError:
-        return {}
-    return found if isinstance(found, dict) else {}
+        return False, None
+
+
+def _each(texts, read):
+    """read(text) of all texts, once for equal ones; the values are shared: don't change them."""
+    known = {}
+    for text in texts:
+        if text not in known:
+            known[text] = read(text)
+        yield known[text]
+
+
+def _written(meta: dict) -> str:
+    """The fields as YAML; those of plain text are written without the library, in its form."""
+    import yaml
+
+    lines = []
+    for key in sorted(meta):
+        value = meta[key]
+        items = value if isinstance(value, list) else [value]
+        if not items or not _is_text(key, _IS_NAME) or not all(isinstance(x, str) and len(key) + len(x) <= 70 and _is_text(x, _IS_PLAIN) for x in items):
+            return yaml.dump(meta, default_flow_style=False, allow_unicode=True).strip()
+        lines.append(f"{key}:" + ("".join(f"\n- {x}" for x in items) if isinstance(value, list) else f" {value}"))
+    return "\n".join(lines)
+
+
+def _load(text: str | None) -> dict:
+    valid, found = _read(text)
+    return found if valid and isinstance(found, dict) else {}
 
 
 @F.pandas_udf(FIELDS)
@@ -45,9 +105,9 @@ def _fields(texts: pd.Series) -> pd.DataFrame:
     import json
 
     rows = []
-    for meta in map(_load, texts):
-        text = {k: None if meta.get(k) is None else str(meta[k]) for k in ("title", "created", "modified")}
-        rows.append({**text, "tags": _strings(meta.get("tags")), "aliases": _strings(meta.get("aliases")), "cssclasses": _strings(meta.get("cssclasses")), "raw": json.dumps(meta, default=str, ensure_ascii=False, sort_keys=True)})
+    for meta in _each(texts, _load):
+        text = (None if meta.get(k) is None else str(meta[k]) for k in ("title", "created", "modified"))
+        rows.append((*text, _strings(meta.get("tags")), _strings(meta.get("aliases")), _strings(meta.get("cssclasses")), json.dumps(meta, default=str, ensure_ascii=False, sort_keys=True)))
     return pd.DataFrame(rows, columns=["title", "created", "modified", "tags", "aliases", "cssclasses", "raw"])
 
 
@@ -60,14 +120,12 @@ def parse(content: Column) -> Column:
 def _render(raw: pd.Series, tags: pd.Series, text: pd.Series) -> pd.Series:
     import json
 
-    import yaml
-
     out = []
     for meta, own, rest in zip(raw, tags, text):
         meta = json.loads(meta) if meta else {}
         if own is not None:
             meta["tags"] = list(own)
-        out.append(f"---\n{yaml.dump(meta, default_flow_style=False, allow_unicode=True).strip()}\n---\n\n{rest}" if meta else rest)
+        out.append(f"---\n{_written(meta)}\n---\n\n{rest}" if meta else rest)
     return pd.Series(out)
 
 
@@ -106,22 +164,19 @@ KIND_WARNINGS = {
 @F.pandas_udf(KINDS)
 def _kinds(texts: pd.Series) -> pd.DataFrame:
     """Kinds of a block's YAML and of two of its fields; '' for a field that isn't there."""
-    import yaml
-
     def kind(value) -> str:
         if isinstance(value, list):
             return "list" if all(isinstance(x, str) for x in value) else "mixed list"
         return next((name for types, name in ((type(None), "null"), (str, "string"), ((int, float), "number")) if isinstance(value, types)), "other")
 
     def kinds(text: str | None) -> tuple[str, str, str]:
-        try:
-            found = yaml.safe_load(text or "")
-        except yaml.YAMLError:
+        valid, found = _read(text)
+        if not valid:
             return "invalid", "", ""
         own = found if isinstance(found, dict) else {}
         return "mapping" if isinstance(found, dict) else "other", *(kind(own[k]) if k in own else "" for k in ("tags", "aliases"))
 
-    return pd.DataFrame(map(kinds, texts), columns=["root", "tags", "aliases"])
+    return pd.DataFrame(_each(texts, kinds), columns=["root", "tags", "aliases"])
 
 
 def validate(content: Column) -> Column:

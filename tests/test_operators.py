@@ -59,6 +59,32 @@ def test_frontmatter(spark):
     assert one(spark, fm.packed(F.array().cast("array<string>"))) == ",,"
 
 
+def test_plain_frontmatter_is_read_and_written_as_yaml_does(monkeypatch):
+    """Blocks of plain text take the short way and give the library's result; each other block is read once."""
+    import itertools
+
+    import yaml
+
+    words = ["a", "b1", "yes", "No", "null", "t 1", "a-b/c", "n", "1", "2024-01-02", "a: b", "'x'", "a  b", "x #y", "#z", "é", "", "~", "x" * 90, "a b " * 30 + "c", "- a", "[a]", "_a", "a "]
+    blocks = [f"\n{k}: {v}\n" for k in ("title", "on", "a-b", "x") for v in words] + [f"\n{a}: {v}\ntags:\n{p}- {v}\n{q}- {w}\n" for a in ("title", "tags") for v, w in itertools.product(words, words) for p, q in (("", ""), ("  ", "  "), ("", "  "), (" ", " "))]
+    short = 0
+    for text in [*blocks, "", "\n", "\n- a\n", "\na:\n", "\na: b", "\na: [\n"]:
+        try:
+            valid, want = True, yaml.safe_load(text)
+        except yaml.YAMLError:
+            valid, want = False, None
+        assert fm._read(text) == (valid, want)
+        short += fm._simple(text) is not None
+        if isinstance(want, dict) and all(isinstance(k, str) for k in want):
+            assert fm._written(want) == yaml.dump(want, default_flow_style=False, allow_unicode=True).strip()
+    assert short > 50
+    calls = []
+    load = yaml.safe_load
+    monkeypatch.setattr(yaml, "safe_load", lambda text: calls.append(text) or load(text))
+    assert fm._load("\ntitle: a b\ntags:\n- c\n") == {"title": "a b", "tags": ["c"]} and not calls
+    assert list(fm._each(["\ntags: [q]\n"] * 3, fm._load)) == [{"tags": ["q"]}] * 3 and len(calls) == 1
+
+
 def test_fuzzy_ratio(spark):
     assert one(spark, fuzzy.fuzzy_ratio(F.lit("ESP32"), F.lit("esp-32"))) == pytest.approx(10 / 11)
 
