@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.functions.fuzzy import fuzzy_ratio, may_reach
-from cairn.lineage import cut
+from cairn.lineage import BROADCAST_ROWS, cut
 from cairn.schema import BROADER, ENTITY_TYPES, RELATION_TYPES
 
 FUZZY = 0.85
@@ -41,13 +41,14 @@ def add_mentions(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = rows.withColumn("key", entity_key(F.col("name"))).withColumn("type", valid_type(F.col("type")))
     best = F.max_by(F.substring("context", 1, 200), F.struct("confidence", -F.col("seq")))
     mentions = rows.groupBy("key", "path", "chunk_idx").agg(F.round(F.max("confidence"), 4).alias("confidence"), best.alias("context"))
-    # Only changes of type matter to the fold, and there are few types: first occurrences by type come before their repeats.
-    runs = rows.withColumn("before", F.lag("type").over(Window.partitionBy("key").orderBy("seq"))).filter("before IS NULL OR before <> type")
-    types = F.transform(F.array_sort(F.collect_list(F.struct("seq", "type"))), lambda s: s["type"])
+    # Of a type only its last occurrence matters to the fold: what an earlier one did is the same after the last.
+    # So rows are counted down within their tasks, and no key's rows are sorted.
+    parts = rows.groupBy("key", "name", "type").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    kinds = parts.groupBy("key", "type").agg(F.min_by("name", "first").alias("name"), F.min("first").alias("first"), F.max("last").alias("last"))
+    types = F.transform(F.array_sort(F.collect_list(F.struct("last", "type"))), lambda s: s["type"])
     folded = F.aggregate(F.slice(types, 2, 1 << 30), F.get(types, F.lit(0)), lambda a, t: F.when(is_broader(a, t), a).otherwise(t))
-    entities = runs.groupBy("key").agg(F.min_by("name", "seq").alias("canonical"), folded.alias("type"))
-    canonical = entities.select("key", "canonical")
-    aliases = rows.select("key", F.explode("aliases").alias("alias")).distinct().join(canonical, "key").filter(entity_key(F.col("alias")) != F.col("key"))
+    entities = kinds.groupBy("key").agg(F.min_by("name", "first").alias("canonical"), folded.alias("type"))
+    aliases = rows.select("key", "aliases").distinct().select("key", F.explode("aliases").alias("alias")).distinct().filter(entity_key(F.col("alias")) != F.col("key"))
     return entities, aliases.select(entity_key(F.col("alias")).alias("alias_key"), "key", "alias"), mentions
 
 
@@ -209,7 +210,9 @@ def match(incoming: DataFrame, entities: DataFrame, aliases: DataFrame, mentions
 
     Fuzzy candidates meet only where they share their first letter's block or
     length band would allow the ratio, so the comparison isn't all with all.
+    The entities, their aliases and their mentions' numbers are computed once.
     """
+    entities, aliases, counts = cut(entities), cut(aliases), cut(mentions.groupBy("key").agg(F.count("*").alias("mention_count")))
     rows = incoming.withColumn("k", entity_key(F.col("name"))).withColumn("row", F.monotonically_increasing_id())
     rows = cut(rows)
     exact = rows.join(entities.select(F.col("key").alias("k"), F.col("key").alias("exact")), "k").select("row", "exact")
@@ -218,11 +221,12 @@ def match(incoming: DataFrame, entities: DataFrame, aliases: DataFrame, mentions
     by_alias = probes.join(known, "alias_key").groupBy("row").agg(F.min("key").alias("by_alias"))
     open_ = cut(rows.join(exact, "row", "left").join(by_alias, "row", "left"))
     rest = open_.filter("exact IS NULL AND by_alias IS NULL").select("row", "k", F.length("k").alias("n"))
+    rest = rest.repartition(4 * rest.sparkSession.sparkContext.defaultParallelism, "row")  # short rows, long work
     sizes = entities.select("key", F.length("key").alias("m"))
+    sizes = F.broadcast(sizes) if entities.count() <= BROADCAST_ROWS else sizes  # few lengths: a shuffled join would have a few hot keys
     # Names of a length can reach the ratio with a bounded range of lengths only: an equi-join on the length.
     reach = rest.withColumn("m", F.explode(F.expr(f"sequence(cast(ceil(n * {threshold} / (2 - {threshold})) AS INT), cast(floor(n * (2 - {threshold}) / {threshold}) AS INT))")))
     pairs = reach.join(sizes, "m").filter(may_reach(F.col("k"), F.col("key"), threshold)).withColumn("ratio", fuzzy_ratio(F.col("k"), F.col("key"))).filter(F.col("ratio") >= threshold)
-    counts = mentions.groupBy("key").agg(F.count("*").alias("mention_count"))
     fuzzy = pairs.join(counts, "key", "left").groupBy("row").agg(F.max_by("key", F.struct(F.coalesce("mention_count", F.lit(0)), "key")).alias("fuzzy"))
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("by_alias").isNotNull(), "alias").when(F.col("fuzzy").isNotNull(), "fuzzy").otherwise("new")
     return open_.join(fuzzy, "row", "left").select("name", F.coalesce("exact", "by_alias", "fuzzy").alias("key"), how.alias("matched_by"))
@@ -230,7 +234,8 @@ def match(incoming: DataFrame, entities: DataFrame, aliases: DataFrame, mentions
 
 def resolve_import(incoming: DataFrame, entities: DataFrame, aliases: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, aliases) after an import of (name, type, aliases): matches give aliases, the rest are new."""
-    found = match(incoming, entities, aliases, mentions).join(incoming.select("name", "type", "aliases"), "name")
+    entities, aliases = cut(entities), cut(aliases)
+    found = cut(match(incoming, entities, aliases, mentions)).join(incoming.select("name", "type", "aliases"), "name")
     grown = add_manual(entities, found.filter("key IS NULL").select("name", "type"))
     given = found.select(F.coalesce("key", entity_key(F.col("name"))).alias("key"), F.explode(F.concat(F.array("name"), "aliases")).alias("alias"))
     new = given.select(entity_key(F.col("alias")).alias("alias_key"), "key", "alias").filter("alias_key <> key")

@@ -307,6 +307,31 @@ def test_entities(spark):
     assert en.merge(e, a, m, "ESP32", "esp32")[0] is e
 
 
+def test_types_fold_as_in_a_plain_loop(spark):
+    """The type of an entity is that of a loop over all its mentions, and no key's rows are sorted for it."""
+    import random
+
+    from cairn.schema import BROADER, ENTITY_TYPES
+
+    def above(a):
+        while a in BROADER:
+            a = BROADER[a]
+            yield a
+
+    r = random.Random(3)
+    rows = [(i, r.choice((f"E{k}", f" e{k}")), r.choice(ENTITY_TYPES), 0.5, "n", 0, "c", [f"a{k}"]) for i, k in enumerate(r.choices(range(60), k=700))]
+    want = {}
+    for _, name, kind, *_ in rows:
+        key = name.strip().lower()
+        first, held = want.get(key, (name, None))
+        want[key] = (first, held if held and kind in above(held) else kind)
+    r.shuffle(rows)
+    e, a, _ = en.add_mentions(spark.createDataFrame(rows, "seq long, name string, type string, confidence double, path string, chunk_idx int, context string, aliases array<string>"))
+    assert {x.key: (x.canonical, x.type) for x in e.collect()} == want
+    assert sorted((x.alias_key, x.key) for x in a.collect()) == sorted((k.replace("e", "a"), k) for k in want)
+    assert "Window" not in e._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_relations(spark):
     rows = [("Alice", "works_on", "ProjectX", 0.8), ("Alice", "works_on", "ProjectX", 0.95), ("ProjectX", "uses", "ESP32", 0.9), ("ESP32", "odd", "IoTKit", 2.0)]
     rel = en.add_relations(spark.createDataFrame(rows, "source string, type string, target string, confidence double").withColumn("source_note", F.lit("")))
