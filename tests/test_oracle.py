@@ -33,6 +33,27 @@ def test_every_part_is_matched(spark):
         assert QUERIES["entity_match"](spark, folder).count() == parts
 
 
+def test_mentions_are_joined_without_sorting(spark, monkeypatch):
+    from cairn import lineage
+    from cairn.plans.queries import mention_rows
+
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        small = mention_rows(spark, SMALL)
+        want = sorted(small.select("seq", "name").collect())
+        assert "SortMergeJoin" not in plan(small)
+        monkeypatch.setattr(lineage, "BROADCAST_ROWS", 10)
+        monkeypatch.setattr(lineage, "LOOKUP_ROWS", 100)
+        dealt = mention_rows(spark, SMALL)
+        assert "ShuffledHashJoin" in plan(dealt) and "Sort" not in plan(dealt)
+        assert dealt.rdd.getNumPartitions() == -(-len(want) // 100) and sorted(dealt.select("seq", "name").collect()) == want
+    finally:
+        spark.conf.set(threshold, before)
+
+
 def test_entry_imports_and_registers(spark):
     import __spark_entry__ as e
 
