@@ -10,7 +10,8 @@ need, so at most the last of each group has padding.
 Groups are runs of documents within a partition, so nothing is shuffled and a
 lost task is computed again from its own input.  Token ids of a text are put
 together from the ids of its units (a run of white space and the word after
-it, beyond which no pre-token reaches); each distinct unit is encoded once.
+it, beyond which no pre-token reaches); each distinct unit is encoded once, new
+units of a part as running text, cut into units by the bytes of its tokens.
 
 Edge cases: a null or empty text has the end id only; equal rows are packed
 each; documents of any length are cut; an empty table gives an empty result.
@@ -18,7 +19,6 @@ each; documents of any length are cut; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 import zlib
@@ -39,8 +39,23 @@ GROUP_TOKENS = 1 << 20
 KEPT_UNITS = 1 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Units of a text that is put together of new units.
+RUN_UNITS = 1024
 #: White space beyond ASCII, or what regex dialects differ on: such texts are encoded as a whole.
-_OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
+_OTHER_SPACE = [chr(c).encode() for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+_OTHER_FIRST = np.isin(np.arange(256), [c[0] for c in _OTHER_SPACE])
+_OTHER_KEYS = [np.array([int.from_bytes(c) for c in _OTHER_SPACE if len(c) == n], np.uint32) for n in (1, 2, 3)]
+
+
+def other_space(buf: np.ndarray) -> np.ndarray:
+    """Where a character of other white space begins."""
+    at = np.flatnonzero(_OTHER_FIRST[buf])
+    last = len(buf) - 1
+    key, found = np.zeros(len(at), np.uint32), np.zeros(len(at), bool)
+    for i, keys in enumerate(_OTHER_KEYS):
+        key = (key << np.uint32(8)) | buf[np.minimum(at + i, last)]
+        found |= np.isin(key, keys)
+    return at[found]
 
 
 def default_tokenizer() -> str:
@@ -59,6 +74,10 @@ class UnitTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.hasher = WordHasher()
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each token, where a token's characters stand for bytes.
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.clear()
 
     @classmethod
@@ -76,11 +95,31 @@ class UnitTokenizer:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        encoded = self.encode(texts)
-        length = np.array([len(x) for x in encoded], np.int64)
-        start = len(self.ids) + np.cumsum(length) - length
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in encoded for i in x), np.uint32, int(length.sum()))))
+    def run(self, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of units in order and the number of each, encoded as running text; None if its tokens don't end with the units."""
+        stop = np.cumsum(size)
+        raw = self.hasher.buffer[np.repeat(starts - stop + size, size) + np.arange(stop[-1])].tobytes()
+        edges = [0, *stop[RUN_UNITS - 1 : -1 : RUN_UNITS], stop[-1]]
+        ids = np.concatenate([np.array(x, np.uint32) for x in self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(edges, edges[1:])])])
+        ends = np.cumsum(self.sizes[ids])
+        last = np.searchsorted(ends, stop)
+        if ends[-1:].tolist() != [stop[-1]] or (ends[last] != stop).any():
+            return None
+        return ids, np.diff(last, prepend=-1)
+
+    def learn(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> None:
+        """Keep the ids of new units.  Plain ones begin with white space and end with a word: no pre-token reaches over their bounds."""
+        length, size = np.zeros(len(hashes), np.int64), ends - starts
+        joined, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
+        found = self.run(starts[joined], size[joined]) if len(joined) else None
+        if found is None:
+            joined, alone, found = joined[:0], np.arange(len(hashes)), (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        buf = self.hasher.buffer
+        encoded = self.encode([buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[alone], ends[alone])])
+        length[joined], length[alone] = found[1], [len(x) for x in encoded]
+        start, order = np.zeros(len(hashes), np.int64), np.concatenate((joined, alone))
+        start[order] = len(self.ids) + np.cumsum(length[order]) - length[order]
+        self.ids = np.concatenate((self.ids, found[0], np.fromiter((i for x in encoded for i in x), np.uint32)))
         at = np.searchsorted(self.known, hashes)
         self.known, self.start, self.length = (np.insert(a, at, b) for a, b in ((self.known, hashes), (self.start, start), (self.length, length)))
 
@@ -107,9 +146,11 @@ class UnitTokenizer:
         at = np.searchsorted(self.known, unique)
         missing = np.flatnonzero(np.append(self.known, np.uint64(0))[at] != unique) if len(self.known) else np.arange(len(unique))
         missing = missing if len(self.known) == 0 else np.union1d(missing, np.flatnonzero(at == len(self.known)))
-        raw = h.buffer.tobytes()
+        other = np.zeros(n, bool)
+        other[np.searchsorted(h.offsets, other_space(h.buffer), "right") - 1] = True
         if len(missing):
-            self.learn(unique[missing], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in index[missing]])
+            new = index[missing]
+            self.learn(unique[missing], starts[new], ends[new], h.blank[starts[new]] & ~h.blank[ends[new] - 1] & ~other[of_text[new]])
         at = np.searchsorted(self.known, unique)[inverse]
         length, begin = self.length[at], self.start[at]
         total = np.concatenate(([0], np.cumsum(length)))
@@ -117,7 +158,7 @@ class UnitTokenizer:
         cuts = total[np.searchsorted(of_text, np.arange(n + 1))]
         out = []
         for i, text in enumerate(texts):
-            own = ids[cuts[i] : cuts[i + 1]] if not _OTHER_SPACE.search(text) else np.array(self.encode([text.decode("utf-8", "replace")])[0], np.uint32)
+            own = ids[cuts[i] : cuts[i + 1]] if not other[i] else np.array(self.encode([text.decode("utf-8", "replace")])[0], np.uint32)
             out.append(np.append(own, np.uint32(END_ID)).astype("<u4"))
         return out
 

@@ -532,6 +532,27 @@ def test_packing(spark, docs):
     assert pack_documents(edge.empty(spark)).count() == 0
 
 
+def test_new_units_are_encoded_as_running_text(monkeypatch):
+    import random
+
+    from cairn.llm.op9_packing import UnitTokenizer, default_tokenizer
+
+    unit, r, seen = UnitTokenizer(default_tokenizer()), random.Random(5), []
+    texts = [" ".join(f"w{r.random()}é," for _ in range(500)) for _ in range(4)]
+    encode = unit.encode
+    whole = encode(texts)
+    monkeypatch.setattr(unit, "encode", lambda t: seen.extend(t) or encode(t))
+    assert [x.tolist() for x in unit.part([t.encode() for t in texts])] == [[*x, 0] for x in whole]
+    assert len(seen) < 10
+    letters = ["a", "b", "'s", " ", " ", "\n", "\t", "7", ".", "é", "\u00a0", "\u2003", "\u3000", "\x1c", "あ", "\U0001f600"]
+    odd = [*("".join(r.choice(letters) for _ in range(r.randint(0, 30))).encode() for _ in range(500)), b"", b" ", b"a \xff\xfe b  c", b"\xe2\x80"]
+    for k in (1, 9, len(odd)):
+        unit.clear()
+        for i in range(0, len(odd), k):
+            for text, ids in zip(odd[i : i + k], unit.part(odd[i : i + k])):
+                assert ids.tolist() == [*encode([text.decode("utf-8", "replace")])[0], 0]
+
+
 # op 10
 
 
